@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm import quality_rules, url_filter
+from strataline.llm import packing, quality_classifier, quality_rules, token_output, url_filter, warc
 from strataline.llm.common import table
 
 
@@ -12,9 +12,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_segments(token_output.write_matrices(table(spark, sf_dir, "documents")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_url_filters)}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op8_url_filters": url_filter.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_token_output, op5_quality_classifier, op6_warc, op7_best_fit_packing, op8_url_filters)
+}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filters": url_filter.ORACLE}
