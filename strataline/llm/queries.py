@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm import jaccard_join, packing, quality_classifier, quality_rules, token_output, url_filter, warc
+from strataline.llm import jaccard_join, packing, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter, warc
 from strataline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,6 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_output, op3_ngram_jaccard_join, op5_quality_classifier, op6_warc, op7_best_fit_packing, op8_url_filters)
+    for f in (op1_quality_rules, op2_token_output, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_quality_classifier, op6_warc, op7_best_fit_packing, op8_url_filters)
 }
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filters": url_filter.ORACLE}
