@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         if examples:
             yield pa.RecordBatch.from_arrays([pa.array([train([e[1:] for e in examples]).tobytes()], pa.binary())], names=["weights"])
 
-    found = rows.coalesce(1).mapInArrow(fitted, "weights binary").collect()
+    found = rows.repartition(1).mapInArrow(fitted, "weights binary").collect()
     return np.frombuffer(bytes(found[0][0]), np.float32) if found else None
 
 
