@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter, warc
+from strataline.llm import decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter, warc
 from strataline.llm.common import table
 
 
@@ -40,12 +40,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_output, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_quality_classifier, op6_warc, op7_best_fit_packing, op8_url_filters, op10_decontamination)
+    for f in (op1_quality_rules, op2_token_output, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_quality_classifier, op6_warc, op7_best_fit_packing, op8_url_filters, op9_pii, op10_decontamination)
 }
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filters": url_filter.ORACLE}
