@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import staged
+from strataline.llm.common import SEPARATORS, staged
 from strataline.llm.components import components
 from strataline.llm.words import mix, vocabulary
 
@@ -34,6 +34,8 @@ from strataline.llm.words import mix, vocabulary
 SKETCH_BITS = 20
 #: Members that one copy of a leader's set is compared with in one task.
 STAR = 256
+#: Row keys (8 bytes) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 _HALF = 1 << 16
 
 
@@ -65,7 +67,12 @@ def needed(na, nb, percent: int):
 
 
 def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(F.col(key), F.col(text)).alias("key"))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64-bit key of a row's id and text; equal rows share it."""
+    return F.xxhash64(doc_id.cast("long"), text)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -73,10 +80,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Written rows (doc_id, n, cls), and per task a row n = -1 with the sketch of its tokens."""
+    """Written rows (doc_id, n, cls, key), and per task a row n = -1 with the sketch of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["doc_id", "n", "cls", "sketch"], np.zeros(1 << SKETCH_BITS, np.uint32)
+        names, counts = ["doc_id", "n", "cls", "key", "sketch"], np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             n, cls, pending, held = [], [], [], 0
@@ -91,11 +98,11 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
                     pending, held = [], 0
             if held:
                 counts += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), pa.nulls(len(n), pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
-    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, sketch binary"), "jaccard-profiles")
+    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, key long, sketch binary"), "jaccard-profiles")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -273,10 +280,31 @@ def _left_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
 
 def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    return _grouped(df, words, percent, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df less all but one of each component: its smallest id stays. Rows without words all stay.
+
+    What goes is told by row keys, broadcast while they are few enough and else joined by a shuffle.
+    """
+    grouped = staged(_grouped(df, words, percent, key, text).where("n_shingles > 0"), "jaccard-grouped")
+    kept = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("kept")).select("root", F.col("kept.key").alias("kept"))
+    gone = staged(grouped.join(kept, "root").where("key <> kept").select(F.col("key").alias("_gone")).distinct(), "jaccard-gone")
+    few = gone.count()
+    left = df.join(F.broadcast(gone) if few <= BROADCAST_ROWS else gone, row_key(F.col(key), F.col(text)) == F.col("_gone"), "left_anti")
+    if grouped.groupBy("key").count().where("count > 1").isEmpty():
+        return left
+    again = left.withColumn("_n", F.row_number().over(Window.partitionBy(row_key(F.col(key), F.col(text))).orderBy(F.lit(1))))
+    return again.where((F.col("_n") == 1) | (F.length(F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(SEPARATORS))) == 0)).drop("_n")
+
+
+def _grouped(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """doc_id, key, n_shingles, root (class that stands for the component) and component_id of every row."""
     docs = _docs(df, key, text)
     profiles = _profiles(docs, words)
     postings = _postings(_prefixes(docs, _sketch(profiles), words, percent), percent)
-    rows = profiles.where("n >= 0").select("doc_id", "n", "cls")
+    rows = profiles.where("n >= 0").select("doc_id", "n", "cls", "key")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     involved = postings.select("cls").distinct().join(classes, "cls")
     texts = docs.join(involved, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
@@ -291,5 +319,5 @@ def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str =
         roots = components(links.unionByName(more))
     labelled = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = labelled.join(lowest, "root").select("cls", "component_id")
-    return rows.join(final, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    final = labelled.join(lowest, "root").select("cls", "root", "component_id")
+    return rows.join(final, "cls", "left").select("doc_id", "key", "root", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
