@@ -30,7 +30,7 @@ def iso_datetime(value: Column) -> Column:
     """ISO text; the fraction is left out when zero and has six digits otherwise."""
     whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(value, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
 def base64_text(value: Column) -> Column:
