@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import scalars
 from strataline.operators import compare, hashing, ordering, overflow, policies, profile
+from strataline.sources import dbf_sink, dbf_source, files, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -444,3 +445,111 @@ def companion_lookup(spark, sf_dir):
     stem = lambda c: F.lower(F.regexp_replace(c, r"\.[^.]*$", ""))
     joined = data.withColumn("stem", stem("data")).join(memos.withColumn("stem", stem("memo")), "stem", "left")
     return joined.select("n_name", "data", "memo", F.col("memo").isNotNull().alias("memo_present"))
+
+
+def as_jsonl(spark: SparkSession, df: DataFrame, order: str, name: str) -> str:
+    """Path of a JSONL file of df's rows in order."""
+    path = f"{files.workspace(spark, name)}/{name}.jsonl"
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"), F.col(order).alias("_o"))
+    files.write_single(lines, "line", ["_o"], path, empty=b"")
+    return path
+
+
+def read_back(spark: SparkSession, path: str, input_format: str, schema: str) -> DataFrame:
+    return records.read_records(spark, path, input_format).select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
+_SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+_SUPPLIER_TYPES = "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal::DECIMAL(15, 2)::DOUBLE AS c_acctbal, c_mktsegment, c_custkey % 9 = 0 AS _deleted FROM customer")
+def dbf_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("_deleted", F.col("c_custkey") % 9 == 0)
+    rows = rows.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
+    fields = [("CUSTKEY", "I", 4, 0, 0), ("NAME", "C", 40, 0, 0), ("NATION", "I", 4, 0, 0), ("ACCTBAL", "N", 12, 2, 0), ("SEGMENT", "C", 20, 0, 0)]
+    named = rows.select(F.col("c_custkey").alias("CUSTKEY"), F.col("c_name").alias("NAME"), F.col("c_nationkey").alias("NATION"), F.col("c_acctbal").alias("ACCTBAL"), F.col("c_mktsegment").alias("SEGMENT"), "_deleted")
+    path = dbf_sink.new_table(named, fields, f"{files.workspace(spark, 'dbf')}/customer.dbf", order="CUSTKEY")
+    back = dbf_source.read_table(spark, path)
+    return back.select(F.col("CUSTKEY").cast("long").alias("c_custkey"), F.col("NAME").alias("c_name"), F.col("NATION").alias("c_nationkey"), F.col("ACCTBAL").cast("double").alias("c_acctbal"), F.col("SEGMENT").alias("c_mktsegment"), "_deleted")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 THEN text END AS text FROM conversations")
+def memo_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("CONV"), F.col("turn").alias("TURN"), F.when(F.col("turn") % 4 != 3, F.col("text")).alias("TEXT"))
+    fields = [("CONV", "N", 12, 0, 0), ("TURN", "N", 6, 0, 0), ("TEXT", "M", 4, 0, 0)]
+    ordered = rows.withColumn("_o", F.col("CONV") * 1000 + F.col("TURN"))
+    path = dbf_sink.new_table(ordered, fields, f"{files.workspace(spark, 'memo')}/talk.dbf", order="_o", language_driver=0x03)
+    back = dbf_source.read_table(spark, path, path[:-4] + ".fpt")
+    return back.select(F.col("CONV").cast("long").alias("conv_id"), F.col("TURN").cast("long").alias("turn"), F.col("TEXT").alias("text"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def jsonl_to_json(spark, sf_dir):
+    path = as_jsonl(spark, table(spark, sf_dir, "documents"), "doc_id", "docs")
+    records.jsonl_to_json(spark, path, path[:-1])
+    return read_back(spark, path[:-1], "json", "doc_id long, lang string, source string, n_chars long")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars::VARCHAR AS n_chars FROM documents")
+def jsonl_to_csv(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = as_jsonl(spark, docs, "doc_id", "docs")
+    kinds = {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"}
+    records.jsonl_to_csv(spark, path, path[:-5] + "csv", columns=list(kinds), schema_types=kinds)
+    return spark.read.csv(path[:-5] + "csv", header=True, multiLine=True, escape='"', schema="doc_id long, text string, lang string, source string, n_chars string")
+
+
+@query(_SUPPLIER)
+def jsonl_roundtrip(spark, sf_dir):
+    return read_back(spark, as_jsonl(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "supplier"), "jsonl", _SUPPLIER_TYPES)
+
+
+@query(_SUPPLIER)
+def csv_roundtrip(spark, sf_dir):
+    path = as_jsonl(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "supplier")
+    records.jsonl_to_csv(spark, path, path[:-5] + "csv")
+    return read_back(spark, path[:-5] + "csv", "csv", _SUPPLIER_TYPES)
+
+
+@query(_SUPPLIER)
+def json_roundtrip(spark, sf_dir):
+    path = as_jsonl(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "supplier")
+    records.jsonl_to_json(spark, path, path[:-1])
+    return read_back(spark, path[:-1], "json", _SUPPLIER_TYPES)
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def xlsx_roundtrip(spark, sf_dir):
+    path = as_jsonl(spark, table(spark, sf_dir, "documents"), "doc_id", "docs")
+    records.jsonl_to_xlsx(spark, path, path[:-5] + "xlsx", max_rows_per_sheet=400)
+    return read_back(spark, path[:-5] + "xlsx", "xlsx", "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@query("""SELECT * FROM (VALUES (0, 'ą', false), (1, 'ü', true), (2, 'plain', false), (3, 'ł', false), (4, 'ó', true)) t(id, text, fell_back)""")
+def decode_fallback(spark, sf_dir):
+    import pyarrow as pa
+
+    from strataline.functions import codepages
+
+    cases = spark.sql("SELECT * FROM VALUES (0, X'B9', 'cp1250'), (1, X'81', 'cp1250'), (2, X'706C61696E', 'ascii'), (3, X'B3', 'mazovia'), (4, X'F3', 'ascii') AS t(id, data, enc)")
+
+    def run(batches):
+        for b in batches:
+            got = [codepages.decode(d, e) for d, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["id", "text", "fell_back"])
+
+    return cases.mapInArrow(run, "id int, text string, fell_back boolean")
+
+
+@query("SELECT p_partkey, lpad(p_retailprice::DECIMAL(10, 2)::VARCHAR, 10, ' ') AS text FROM part")
+def numeric_text(spark, sf_dir):
+    import pyarrow as pa
+
+    from strataline.functions import numbers
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([numbers.rendered(v, 10, 2).decode() for v in b.column(1).to_pylist()])], names=["p_partkey", "text"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(10,2)").alias("v")).mapInArrow(run, "p_partkey long, text string")

@@ -183,3 +183,14 @@ def write_single(df: DataFrame, column: str, order: list[str], path: str, head:
     finally:
         if filesystem.get_file_info(p).type == fs.FileType.Directory:
             filesystem.delete_dir(p)
+
+
+def workspace(spark, name: str) -> str:
+    """A fresh folder that driver and tasks share: under spark.checkpoint.dir, or a temporary one where that is unset."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataline-")
+    path = f"{root.rstrip('/')}/strataline-files/{name}-{uuid.uuid4().hex[:12]}"
+    filesystem, p = at(path)
+    filesystem.create_dir(p, recursive=True)
+    return path

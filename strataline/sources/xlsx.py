@@ -40,7 +40,7 @@ def cell(row: int, column: int, value) -> str:
     if isinstance(value, (int, float)):
         return f'<c r="{at}"><v>{value!r}</v></c>'
     text = _UNSAFE.sub(lambda m: "_x005F_x" if len(m[0]) > 1 else f"_x{ord(m[0]):04X}_", str(value))
-    return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text, {chr(10): "&#10;"})}</t></is></c>'
 
 
 def row_xml(row: int, values: Iterable) -> str:
