@@ -3,11 +3,13 @@
 Sets are distinct word shingles, as 64-bit hashes. Documents of equal sets are one class (a key of their own), so
 copies never meet in pairs. Tokens are ordered from rare to frequent by a sketch of counts over all documents (a
 fixed-size table, broadcast); any order is exact, this one keeps frequent passages out of the prefixes. Two sets at or
-above the threshold share a token of their prefixes, so the index lists hold prefixes only.
+above the threshold share `SHARED` tokens of their prefixes (or their whole overlap, if that is smaller), so the index
+lists hold prefixes only, and pairs that share fewer tokens of them are never looked at.
 
-Index-level skipping: lists are sorted by size and then by the token's position, so once the position bound fails for
-a block of equal sizes, the block's rest is skipped. Answer-level skipping: first every list entry is verified only
-against its size block's leader (a star, linear in the list); afterwards a pair within one component needs no work, and
+Index-level skipping: lists are sorted by size and then by the token's position, so entries beyond the size bound are
+skipped together, and those that the position bound rules out with them. Answer-level skipping: first every class is
+verified against one leader only, of the leaders of its lists' size blocks the one that it shares most tokens with (a
+star: one pair a class); afterwards a pair within one component needs no work, and
 for a pair with a common leader the answers computed for the leader bound the pair's overlap from both sides, which
 often decides it without its sets. Only what is left is verified, so no link between different components is lost.
 
@@ -26,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import SEPARATORS, staged
+from strataline.llm.common import SEPARATORS, bit_set, staged
 from strataline.llm.components import components
 from strataline.llm.words import mix, vocabulary
 
 #: Buckets of the frequency sketch: 4 MB of counts whatever the corpus.
 SKETCH_BITS = 20
+#: Tokens of two prefixes that sets at the threshold must share.
+SHARED = 3
+#: Bits of the set that tells which documents to shuffle: 4 MB whatever the corpus.
+BITS = 25
 #: Members that one copy of a leader's set is compared with in one task.
 STAR = 256
-#: Row keys (8 bytes) that may be broadcast.
+#: Rows of at most 40 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _HALF = 1 << 16
 
@@ -58,7 +64,8 @@ def class_of(s: np.ndarray) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n + (-percent * n) // 100 + 1
+    """Tokens of a set of n in which SHARED common ones must lie."""
+    return min(n, n + (-percent * n) // 100 + SHARED)
 
 
 def needed(na, nb, percent: int):
@@ -190,25 +197,57 @@ def _postings(prefixes: DataFrame, percent: int) -> DataFrame:
             size = np.floor(np.log(n) / step).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (size[1:] != size[:-1])])
             lengths = np.diff(np.r_[starts, len(token)])
-            # The leader: the smallest class of the block, the same for all tokens that a family shares.
-            first = np.lexsort((cls, np.repeat(np.arange(len(starts)), lengths)))[starts]
+            # The leader has the fewest rarer tokens: the most central of a family, and mostly the same for all its tokens.
+            first = np.lexsort((cls, pos, np.repeat(np.arange(len(starts)), lengths)))[starts]
             at = np.repeat(first, lengths)
             need = needed(n.astype(np.int64), n[at].astype(np.int64), percent)
-            bound = 1 + np.minimum(n - pos - 1, n[at] - pos[at] - 1)
+            bound = np.minimum(pos, pos[at]) + 1 + np.minimum(n - pos - 1, n[at] - pos[at] - 1)
             tested = (cls != cls[at]) & (bound >= need) & (100 * np.minimum(n, n[at]).astype(np.int64) >= percent * np.maximum(n, n[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, n, pos, cls, cls[at], tested)], names=["token", "n", "pos", "cls", "leader", "tested"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, n, pos, cls, cls[at], n[at], tested)], names=["token", "n", "pos", "cls", "leader", "leader_n", "tested"])
 
     parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "cls")
-    return staged(dealt.mapInArrow(run, "token long, n int, pos int, cls long, leader long, tested boolean"), "jaccard-postings")
+    return staged(dealt.mapInArrow(run, "token long, n int, pos int, cls long, leader long, leader_n int, tested boolean"), "jaccard-postings")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Written rows (a, b, na, nb, both, linked) of distinct pairs; a leader's set is copied for each STAR members."""
+def _enough(na: str, nb: str, percent: int) -> Column:
+    """Shared prefix tokens that a pair needs to be looked at."""
+    need = F.ceil((F.lit(percent) * (F.col(na) + F.col(nb))) / F.lit(100 + percent))
+    return F.least(F.lit(SHARED), need)
+
+
+def _stars(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each class b the leader a that it shares most prefix tokens with."""
+    votes = postings.where("tested").groupBy("leader", "cls", "n", "leader_n").count().where(F.col("count") >= _enough("n", "leader_n", percent))
+    return votes.groupBy(F.col("cls").alias("b")).agg(F.max_by("leader", F.struct("count", "leader")).alias("a")).select("a", "b")
+
+
+def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Written (key, text) of the documents whose key is among keys, and of few others that a bit set can't tell apart."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_set(keys, BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            hit = bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)]
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    found = docs.select("key", "text").mapInArrow(run, "key long, text string")
+    return staged(found, "jaccard-texts")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Written rows (a, b, na, nb, both, linked) of distinct pairs; a leader's set is copied for each STAR members.
+
+    known has the key of a document for each class.
+    """
     counted = pairs.groupBy("a").count().withColumn("salts", F.ceil(F.col("count") / STAR).cast("int")).drop("count")
     members = pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("cls"), F.lit(1).alias("side"))
     leaders = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cls"), F.lit(0).alias("side"))
-    asked = members.unionByName(leaders).join(texts, "cls").select("a", "salt", "side", "cls", "text")
+    asked = staged(members.unionByName(leaders).join(known, "cls"), "jaccard-asked")
+    few = asked.count() <= BROADCAST_ROWS
+    asked = texts.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "side", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, current, leader = ["a", "b", "na", "nb", "both", "linked"], None, None
@@ -239,18 +278,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def _left_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """(a, b, sure): candidate pairs of different components; sure where the leader's answers already prove the link."""
     answers = stars.groupBy(F.col("b").alias("cls")).agg(F.max_by(F.struct(F.col("a").alias("via"), "na", F.col("both").alias("common")), F.struct("both", "a")).alias("s")).select("cls", "s.*")
+    # Of the tokens before this one only those in another list can be common.
+    placed = postings.withColumn("before", F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1)
     known = (
-        postings.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+        placed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .join(answers, "cls", "left")
-        .select("token", "n", "pos", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("via", F.lit(0)).alias("via"), F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("common", F.lit(-1)).alias("common"))
+        .select("token", "n", "pos", "before", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("via", F.lit(0)).alias("via"), F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("common", F.lit(-1)).alias("common"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches):
-            token, n, pos, cls, root, via, na, common = (table.column(i).to_numpy().astype(np.int64) for i in range(8))
+            token, n, pos, before, cls, root, via, na, common = (table.column(i).to_numpy().astype(np.int64) for i in range(9))
             edges = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
             mixed = np.minimum.reduceat(root, edges[:-1]) != np.maximum.reduceat(root, edges[:-1])
-            left, right, sure = [], [], []
+            left, right, sure, sizes = [], [], [], []
             for lo, hi in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
                 for i in range(lo, hi - 1):
                     # Later entries are at least as large; those beyond the size bound are skipped together.
@@ -260,7 +301,7 @@ def _left_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
                     if not len(j):
                         continue
                     need = needed(n[i], n[j], percent)
-                    j = j[1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need]
+                    j = j[np.minimum(before[i], before[j]) + 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need]
                     need = needed(n[i], n[j], percent)
                     same = (via[j] == via[i]) & (common[j] >= 0) & (common[i] >= 0)
                     most = np.where(same, np.minimum(common[i], common[j]) + np.minimum(n[i] - common[i], n[j] - common[j]), n[j])
@@ -269,13 +310,15 @@ def _left_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
                     left.append(np.full(int(kept.sum()), cls[i]))
                     right.append(cls[j[kept]])
                     sure.append((least >= need)[kept])
+                    sizes.append(n[i] + n[j[kept]])
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(sure))], names=["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(sure)), pa.array(np.concatenate(sizes))], names=["a", "b", "sure", "size"])
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "cls")
-    return staged(dealt.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-left")
+    found = dealt.mapInArrow(run, "a long, b long, sure boolean, size long").groupBy("a", "b", "size").agg(F.max("sure").alias("sure"), F.count("*").alias("shared"))
+    return staged(found.withColumn("none", F.lit(0)).where(F.col("shared") >= _enough("size", "none", percent)).select("a", "b", "sure"), "jaccard-left")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,15 +348,14 @@ def _grouped(df: DataFrame, words: int, percent: int, key: str, text: str) -> Da
     profiles = _profiles(docs, words)
     postings = _postings(_prefixes(docs, _sketch(profiles), words, percent), percent)
     rows = profiles.where("n >= 0").select("doc_id", "n", "cls", "key")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    involved = postings.select("cls").distinct().join(classes, "cls")
-    texts = docs.join(involved, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
-    texts = staged(texts, "jaccard-texts")
-    stars = _verified(postings.where("tested").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), texts, words, percent)
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
+    known = staged(postings.select("cls").distinct().join(classes, "cls").select("cls", "key"), "jaccard-known")
+    texts = _involved_texts(docs, known.select("key"))
+    stars = _verified(_stars(postings, percent), known, texts, words, percent)
     links = stars.where("linked").select("a", "b")
     roots = components(links)
     left = _left_pairs(postings, roots, stars, percent)
-    rest = _verified(left.where("not sure").select("a", "b"), texts, words, percent).where("linked").select("a", "b")
+    rest = _verified(left.where("not sure").select("a", "b"), known, texts, words, percent).where("linked").select("a", "b")
     more = rest.unionByName(left.where("sure").select("a", "b"))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
