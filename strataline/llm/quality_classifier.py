@@ -43,7 +43,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     length = int(mix(np.array([_SALTS["other"]]), np.array([n.bit_length()], np.uint64))[0] & mask)
     if not n:
         return np.array([length]), np.array([1.0])
-    vocab = vocabulary()
+    vocab = vocabulary(with_shapes=True)
     numbers = vocab.numbers(words)
     h, s = vocab.hashes[numbers], vocab.shapes[numbers]
     parts = [h ^ _SALTS["word"], mix(h[:-1], h[1:]) ^ _SALTS["pair"], s ^ _SALTS["shape"], mix(s[:-1], s[1:]) ^ _SALTS["shape pair"]]

@@ -15,10 +15,11 @@ _CLASSES = bytes(
 
 
 class Vocabulary(dict):
-    """Word bytes to a small number; hashes[number] is the word's 64-bit hash, shapes[number] that of its shape."""
+    """Word bytes to a small number; hashes[number] is the word's 64-bit hash, shapes[number] that of its shape, if asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, with_shapes: bool) -> None:
         super().__init__()
+        self.with_shapes = with_shapes
         self.hashes, self.shapes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
@@ -26,9 +27,10 @@ class Vocabulary(dict):
         if number >= len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.shapes = np.concatenate([self.shapes, np.zeros_like(self.shapes)])
-        shape = word.translate(_CLASSES)
         self.hashes[number] = xxhash.xxh64_intdigest(word)
-        self.shapes[number] = xxhash.xxh64_intdigest(shape[:1] + b" " + shape[-3:])
+        if self.with_shapes:
+            shape = word.translate(_CLASSES)
+            self.shapes[number] = xxhash.xxh64_intdigest(shape[:1] + b" " + shape[-3:])
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -37,8 +39,8 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def vocabulary() -> Vocabulary:
-    return worker_cache("vocabulary", Vocabulary)
+def vocabulary(with_shapes: bool = False) -> Vocabulary:
+    return worker_cache(f"vocabulary {with_shapes}", lambda: Vocabulary(with_shapes))
 
 
 def mix(*parts: np.ndarray) -> np.ndarray:
