@@ -6,7 +6,7 @@ strings have their anchor at the same place, so every repeat is found among anch
 suffix in seventy-five. An anchor stands for the strings (starts) that chose it; its context is the text they span.
 
 1. Anchors are dealt by their substring's hash and sorted by their context's: contexts that occur again are repeats
-   whole. What differs from all others, with a representative of each other context of the substring, goes on.
+   whole. Repeats within a task are told there, and one row stands for them, so a common passage makes no hot group. What differs from all others, with a representative of each other context of the substring, goes on.
 2. Those contexts are fetched, and the suffixes and the reversed prefixes at their anchors are sorted deep-shallow.
    From both orders' common prefixes each string (left part, right part) gets a class; a class of two is a repeat.
 3. Ranges of repeated starts meet their documents, which drop the covered bytes.
@@ -21,7 +21,6 @@ and never cut.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import staged, worker_cache
+from strataline.llm.common import bit_set, staged, worker_cache
 from strataline.llm.suffix_sort import deep_shallow
 from strataline.llm.words import mix
 
@@ -97,11 +96,18 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "context", "key", "at", "first", "last"]
+        names = ["gram", "context", "key", "at", "first", "last", "many", "local", "deal"]
 
         def out(parts: list) -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
+            gram, context, key, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+            gram, context = gram.view(np.int64), context.view(np.int64)
+            order = np.lexsort((context, gram))
+            gram, context, key, *rest = (c[order] for c in (gram, context, key, *rest))
+            new = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]
+            sizes = np.diff(np.r_[np.flatnonzero(new), len(gram)])
+            # A context met twice here is a repeat: one row stands for it among its substring's, the others are dealt by document.
+            many, local = np.repeat(sizes > 1, sizes), ~new
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, context, key, *rest, many, local, np.where(local, key, gram))], names=names)
 
         parts, held = [], 0
         for batch in batches:
@@ -119,18 +125,21 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if parts:
             yield out(parts)
 
-    return docs.select("key", "text").mapInArrow(run, "gram long, context long, key long, at long, first long, last long")
+    return docs.select("key", "text").mapInArrow(run, "gram long, context long, key long, at long, first long, last long, many boolean, local boolean, deal long")
 
 
 def _met(rows: DataFrame) -> DataFrame:
     """Written rows of anchors whose substring occurs again: kind 0, a range that is a repeat; 1, a context to compare and judge; 2, one to compare only."""
 
+    def shown(table: pa.Table, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from table.select(["gram", "context", "key", "at", "first", "last"]).append_column("kind", pa.array(kind)).to_batches()
+
     def decided(table: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, context = table.column("gram").to_numpy(), table.column("context").to_numpy()
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         new = new_gram | np.r_[True, context[1:] != context[:-1]]
         starts = np.flatnonzero(new)
-        again = np.diff(np.r_[starts, len(gram)]) > 1
+        again = (np.diff(np.r_[starts, len(gram)]) > 1) | np.logical_or.reduceat(table.column("many").to_numpy(), starts)
         run = np.cumsum(new_gram[starts]) - 1
         several = np.bincount(run)[run] > 1
         rows = np.repeat(again, np.diff(np.r_[starts, len(gram)]))
@@ -139,13 +148,16 @@ def _met(rows: DataFrame) -> DataFrame:
         picked = np.concatenate([np.flatnonzero(rows), single, partner])
         if len(picked):
             kind = np.repeat(np.array([0, 1, 2], np.int32), [int(rows.sum()), len(single), len(partner)])
-            out = table.take(pa.array(picked)).append_column("kind", pa.array(kind))
-            yield from out.to_batches()
+            yield from shown(table.take(pa.array(picked)), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
+            local = batch.column(batch.schema.get_field_index("local"))
+            if alone := pc.sum(local).as_py():
+                yield from shown(pa.Table.from_batches([batch.filter(local)]), np.zeros(alone, np.int32))
+                batch = batch.filter(pc.invert(local))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -162,30 +174,10 @@ def _met(rows: DataFrame) -> DataFrame:
             yield from decided(pa.Table.from_batches(held))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "gram").sortWithinPartitions("gram", "context")
+    dealt = rows.repartition(parts, "deal").sortWithinPartitions("local", "gram", "context")
     return staged(dealt.mapInArrow(run, "gram long, context long, key long, at long, first long, last long, kind int"), "dedup-met")
 
 
-def _bit_set(keys: DataFrame) -> bytes:
-    """A bit for each key's hash, gathered in two levels of streaming tasks; its size is fixed."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], names=["bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (BITS - 3), np.uint8)
-        for batch in batches:
-            for blob in batch.column(0):
-                total |= np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["bits"])
-
-    found = keys.mapInArrow(mark, "bits binary").repartition(8).mapInArrow(join, "bits binary").repartition(1).mapInArrow(join, "bits binary").collect()
-    return zlib.decompress(bytes(found[0][0]))
-
-
 def _dealt_texts(docs: DataFrame, bits: bytes) -> DataFrame:
     """Written rows (key, doc_id, n_bytes, sha256, text): text only where the bit set has the key."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -299,7 +291,7 @@ def _dropped(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
 def _ranges(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """The dealt texts and all ranges (key, first, last) of repeated starts."""
     met = _met(_anchor_rows(docs, length, gram))
-    texts = _dealt_texts(docs, _bit_set(met.select("key")))
+    texts = _dealt_texts(docs, bit_set(met.select("key"), BITS))
     compared = _compared(texts, met.where("kind > 0").select("key", "first", "last", "at", "kind", "gram"), length)
     return texts, met.where("kind = 0").select("key", "first", "last").unionByName(compared)
 
