@@ -13,6 +13,9 @@ star: one pair a class); afterwards a pair within one component needs no work, a
 for a pair with a common leader the answers computed for the leader bound the pair's overlap from both sides, which
 often decides it without its sets. Only what is left is verified, so no link between different components is lost.
 
+Links of a row (`near_duplicate_links`): links lie within components, so all pairs of classes of a component are
+counted, in blocks of `CHUNK` classes by `CHUNK` that are dealt out one by one; copies count as often as they occur.
+
 Defined cases: null or wordless texts have an empty set, are linked with nothing and are their own component; with
 fewer words than a shingle the whole sequence is the one element; repeated ids are separate rows; an empty table gives
 an empty result; extra columns are ignored; very long texts are one set each, whole.
@@ -40,6 +43,8 @@ SHARED = 3
 BITS = 25
 #: Members that one copy of a leader's set is compared with in one task.
 STAR = 256
+#: Classes, and tokens of them, that one side of a block of pairs holds on average at most.
+CHUNK, CHUNK_TOKENS = 512, 1 << 20
 #: Rows of at most 40 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _HALF = 1 << 16
@@ -326,6 +331,14 @@ def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str =
     return _grouped(df, words, percent, key, text).select("doc_id", "n_shingles", "component_id")
 
 
+def near_duplicate_links(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (other rows at the threshold or above, copies among them) of every row."""
+    rows, classes, known, texts, roots = _resolved(df, words, percent, key, text)
+    others = _linked_rows(classes, known, texts, roots, words, percent)
+    final = _labels(classes, roots).join(others, "cls", "left").withColumn("n_links", F.col("n_rows") - 1 + F.coalesce("others", F.lit(0)))
+    return _with_labels(rows, final).select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def without_near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df less all but one of each component: its smallest id stays. Rows without words all stay.
 
@@ -344,11 +357,106 @@ def without_near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, ke
 
 def _grouped(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     """doc_id, key, n_shingles, root (class that stands for the component) and component_id of every row."""
+    rows, classes, _, _, roots = _resolved(df, words, percent, key, text)
+    return _with_labels(rows, _labels(classes, roots)).select("doc_id", "key", "root", "n_shingles", "component_id")
+
+
+def _labels(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, root, component_id, n_rows) of every class."""
+    labelled = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return labelled.join(lowest, "root").select("cls", "root", "component_id", "n_rows")
+
+
+def _with_labels(rows: DataFrame, final: DataFrame) -> DataFrame:
+    """rows with their class's columns; rows without words are their own component."""
+    found = rows.join(final, "cls", "left").withColumnRenamed("n", "n_shingles")
+    return found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b."""
+    both = np.zeros((len(a), len(b)), np.int64)
+    common = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    if not len(common):
+        return both
+    sides = []
+    for sets in (a, b):
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, tokens)
+        at[at == len(common)] = 0
+        hit = common[at] == tokens
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], owner[order], len(sets)))
+    width = 1 << 12
+    for low in range(0, len(common), width):
+        parts = []
+        for at, owner, count in sides:
+            x, y = np.searchsorted(at, (low, low + width))
+            part = np.zeros((count, min(width, len(common) - low)), np.float32)
+            part[owner[x:y], at[x:y] - low] = 1
+            parts.append(part)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cls, others): rows of other classes that a class is linked with, of all pairs within its component."""
+    members = roots.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "n", "n_rows"), "cls").join(known, "cls")
+    members = staged(members, "jaccard-members")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    dealt = members.join(sizes, "root").withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    asked = staged(dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "cls", "n_rows", "key"), "jaccard-blocks")
+    few = asked.count() <= BROADCAST_ROWS // 2
+    asked = texts.join(F.broadcast(asked) if few else asked, "key").select("root", "i", "j", "side", "cls", "n_rows", "text")
+
+    def counted(sides: tuple[dict, dict], within: bool) -> list[tuple[int, int]]:
+        # Of a block on the diagonal there is one side, and a class is no other of itself.
+        left, right = sides[0], sides[0] if within else sides[1]
+        if not left or not right:
+            return []
+        (a, ma), (b, mb) = (zip(*x.values(), strict=True) for x in (left, right))
+        na, nb, ma, mb = (np.array(x, np.int64) for x in ([len(s) for s in a], [len(s) for s in b], ma, mb))
+        both = _overlaps(a, b)
+        linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)).astype(np.int64)
+        out = list(zip(left, (linked @ mb - (ma if within else 0)).tolist(), strict=True))
+        return out if within else out + list(zip(right, (linked.T @ ma).tolist(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["cls", "others"])
+
+        current, sides = None, ({}, {})
+        for batch in batches:
+            out = []
+            for root, i, j, side, cls, n_rows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current != (root, i, j):
+                    if current:
+                        out += counted(sides, current[1] == current[2])
+                    current, sides = (root, i, j), ({}, {})
+                own = shingles(text, words)
+                if class_of(own) == cls:  # else another text of the same key
+                    sides[side][cls] = (own, n_rows)
+            if out:
+                yield table(out)
+        if current and (out := counted(sides, current[1] == current[2])):
+            yield table(out)
+
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = asked.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    return blocks.mapInArrow(run, "cls long, others long").groupBy("cls").agg(F.sum("others").alias("others"))
+
+
+def _resolved(df: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, classes, classes' document keys, involved texts and the roots of linked classes."""
     docs = _docs(df, key, text)
     profiles = _profiles(docs, words)
     postings = _postings(_prefixes(docs, _sketch(profiles), words, percent), percent)
     rows = profiles.where("n >= 0").select("doc_id", "n", "cls", "key")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n").alias("n"), F.count("*").alias("n_rows"))
     known = staged(postings.select("cls").distinct().join(classes, "cls").select("cls", "key"), "jaccard-known")
     texts = _involved_texts(docs, known.select("key"))
     stars = _verified(_stars(postings, percent), known, texts, words, percent)
@@ -359,7 +467,4 @@ def _grouped(df: DataFrame, words: int, percent: int, key: str, text: str) -> Da
     more = rest.unionByName(left.where("sure").select("a", "b"))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    labelled = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = labelled.join(lowest, "root").select("cls", "root", "component_id")
-    return rows.join(final, "cls", "left").select("doc_id", "key", "root", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows, classes, known, texts, roots

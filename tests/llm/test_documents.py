@@ -105,6 +105,38 @@ def test_jaccard_families_and_empty(spark):
     assert jaccard_join.near_duplicates(fixtures.empty(spark)).collect() == []
 
 
+def brute_links(rows, words, percent):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    linked = [sum(i != j and bool(a and b) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    return Counter((i, len(s), n) for (i, _), s, n in zip(rows, sets, linked, strict=True))
+
+
+@pytest.mark.parametrize("chunk", [512, 4])
+def test_links_of_each_row(spark, monkeypatch, chunk):
+    """Links within a component are counted too, copies of a text one by one, in one block or in many."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    r = random.Random(4)
+    rows, n = fixtures.texts(), 1000
+    for _ in range(3):
+        text = fixtures.words(r, 100).split()
+        for _ in range(20):
+            text = list(text)
+            for _ in range(r.randint(0, 2)):
+                text[r.randrange(len(text))] = f"new{n}"
+            rows.append((n, " ".join(text)))
+            n += 1
+    df = fixtures.frame(spark, rows)
+    got = jaccard_join.near_duplicate_links(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == brute_links(rows, 3, 90)
+    assert Counter(tuple(r)[:3] for r in got) == brute_components(rows, 3, 90)
+    assert jaccard_join.near_duplicate_links(fixtures.empty(spark)).collect() == []
+
+
 def test_one_of_each_group_stays(spark):
     rows = fixtures.texts()
     df = fixtures.frame(spark, rows)
