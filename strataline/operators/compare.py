@@ -28,6 +28,26 @@ def positional_diff(expected: DataFrame, actual: DataFrame, ordinal: str, fields
     return found.orderBy("record", "field").limit(limit) if limit else found
 
 
+def record_diff(expected: DataFrame, actual: DataFrame, ordinal: str, record: str, limit: int | None = None) -> DataFrame:
+    """(record, field, expected, actual, kind) as positional_diff, of JSON objects as text, over the keys of either side.
+
+    Values are compared and reported as JSON text, so types count; a number's notation does not, a missing key is null.
+    """
+    left = expected.select(F.col(ordinal).alias("record"), F.col(record).alias("e"))
+    right = actual.select(F.col(ordinal).alias("record"), F.col(record).alias("a"))
+    both = left.join(right, "record", "full_outer").where(~F.col("e").eqNullSafe(F.col("a")))
+    whole = F.when(F.col("e").isNull(), "extra").when(F.col("a").isNull(), "missing")
+    values = lambda c: F.map_filter(F.transform_values(F.parse_json(c).cast("map<string,variant>"), lambda k, v: F.to_json(v)), lambda k, v: v != "null")
+    both = both.select("record", whole.alias("whole"), values("e").alias("e"), values("a").alias("a"))
+    keys = F.array_union(F.map_keys("e"), F.map_keys("a"))
+    changes = F.transform(keys, lambda k: F.struct(k.alias("field"), F.element_at("e", k).alias("expected"), F.element_at("a", k).alias("actual")))
+    changed = F.filter(changes, lambda c: ~c["expected"].eqNullSafe(c["actual"]))
+    alone = F.array(F.struct(F.lit("<record>").alias("field"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual")))
+    found = both.select("record", F.coalesce("whole", F.lit("field")).alias("kind"), F.explode(F.when(F.col("whole").isNotNull(), alone).otherwise(changed)).alias("d"))
+    found = found.select("record", "kind", "d.field", "d.expected", "d.actual")
+    return found.orderBy("record", "field").limit(limit) if limit else found
+
+
 def diagnostic(df: DataFrame, column: str) -> DataFrame:
     """df with a value's length, hash and preview."""
     c = F.col(column)

@@ -88,13 +88,9 @@ def check_tree(spark: SparkSession, source: str, output: str, overwrite: bool =
             result.warnings += s.warnings if s else []
         if not result.errors:
             described = sidecar.load(sidecar.sidecar_path(forward, table.relative))
-            names = [f["name"] for f in described["fields"]]
-            sides = []
-            for s in (steps[0], steps[2]):
-                v = records.read_records(spark, s.output, "jsonl").select("_ordinal", F.parse_json("record").alias("v"))
-                sides.append(v.select("_ordinal", *(F.try_variant_get("v", f"$['{n}']", "string").alias(n) for n in [*names, "_deleted"])))
+            sides = [records.read_records(spark, s.output, "jsonl") for s in (steps[0], steps[2])]
             result.records = steps[0].records
-            result.record_differences = [r.asDict() for r in compare.positional_diff(*sides, "_ordinal", [*names, "_deleted"], max_differences).collect()]
+            result.record_differences = [r.asDict() for r in compare.record_diff(*sides, "_ordinal", "record", max_differences).collect()]
             layout = layout_of(table.path)
             result.dbf = compared_files(spark, table.path, steps[1].output, max_differences, (layout.header_length, layout.record_length))
             memo_there = table.memo and steps[1].fpt_sha256

@@ -126,6 +126,33 @@ def test_quality(spark, tmp_path):
     assert run.results[0].status == "OK" and run.results[0].dbf["match"] and run.results[0].fpt["match"], vars(run.results[0])
 
 
+def test_quality_compares_whole_records(spark, tmp_path, monkeypatch):
+    """A re-export that differs in a type, in what is beside the fields or in a further key has failed."""
+    from pathlib import Path
+
+    from strataline.plans import quality
+
+    real, runs = quality.export.export_tree, []
+
+    def tampered(*args, **options):
+        run = real(*args, **options)
+        runs.append(run)
+        if len(runs) == 2:
+            path = Path(run.results[0].output)
+            rows = [json.loads(x) for x in path.read_text().splitlines()]
+            rows[0]["COUNT"] = str(rows[0]["COUNT"])
+            rows[1]["_raw_record"] = base64.b64encode(b"other").decode()
+            rows[2] |= {"unexpected": 1, "nothing": None}
+            path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+        return run
+
+    tables.build(tmp_path / "in")
+    monkeypatch.setattr(quality.export, "export_tree", tampered)
+    result = api.check_quality(tmp_path / "in", tmp_path / "q", spark=spark).results[0]
+    assert [(d["record"], d["field"]) for d in result.record_differences] == [(0, "COUNT"), (1, "_raw_record"), (2, "unexpected")], vars(result)
+    assert result.status == "FAILED" and (result.record_differences[0]["expected"], result.record_differences[0]["actual"]) == ("-5", '"-5"')
+
+
 def test_code_pages_and_numbers():
     assert codepages.decode(b"\x81", "cp1250") == ("ü", True)
     assert codepages.decode("ąę".encode("cp1250"), "cp1250") == ("ąę", False)
