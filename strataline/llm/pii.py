@@ -188,16 +188,18 @@ def found(text: Column, kind: str, pattern: str, keep) -> Column:
     return bind(parts, located)
 
 
-#: What a text must hold for a kind's patterns to match at all; cheaper than the patterns.
-def _may_hold(text: Column, kind: str) -> Column:
+#: What a text must hold for a kind's pattern of BASE (with its digits) or of GENERATORS to match; cheaper than these.
+def _may_hold(text: Column, kind: str, base: bool) -> Column:
     if kind == "email":
         return text.contains("@") | F.lower(text).contains("(at)") | F.lower(text).contains("[at]")
+    if kind == "phone" and base:
+        return text.rlike(r"\+[0-9][ ().0-9-]{%d}" % (PHONE_DIGITS[0] - 1))
     return text.rlike({"ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 .-]{12}", "phone": r"[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9][ ().0-9-]{4}"}[kind])
 
 
 def base_spans(text: Column) -> Column:
     none = F.array().cast(_SPANS)
-    return F.concat(*(F.when(_may_hold(text, k), found(text, k, BASE[k], lambda s, k=k: _passes(k, s))).otherwise(none) for k in KINDS))
+    return F.concat(*(F.when(_may_hold(text, k, True), found(text, k, BASE[k], lambda s, k=k: _passes(k, s))).otherwise(none) for k in KINDS))
 
 
 def features_sql(c: Column, text: Column) -> Column:
@@ -259,7 +261,7 @@ def selected_spans(text: Column, base: Column) -> Column:
             continue
 
         chosen = F.filter(found(text, kind, pattern, lambda s: F.lit(True)), _judge(text, base, trees, number, limit))
-        out = F.concat(out, F.when(_may_hold(text, kind), chosen).otherwise(none))
+        out = F.concat(out, F.when(_may_hold(text, kind, False), chosen).otherwise(none))
     return out
 
 

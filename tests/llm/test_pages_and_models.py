@@ -121,6 +121,16 @@ def test_pii(spark):
     assert pii.redact(df).columns == df.columns and pii.spans_report(fixtures.empty(spark)).collect() == []
 
 
+def test_pii_phones_in_small_groups(spark):
+    texts = ["call +33 6 12 34 56 78 now", "+12 34 56 78 90", "+1....2....3....4....5....6....7....8....9....0", "+1234567890", "+12 34 56 78 9", "+ 12 34 56 78 90"]
+    df = fixtures.frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: r for r in pii.spans_report(df).collect()}
+    for k, t in enumerate(texts):
+        spans = brute_spans(t)
+        assert got[k].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and got[k].n_phone == len(spans) == (k < 4), t
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "call <PHONE> now"
+
+
 def test_pii_features_in_sql_and_python(spark):
     from pyspark.sql import functions as F
 
