@@ -15,6 +15,8 @@ from strataline.llm.common import worker_cache
 
 #: The ranks file of the vocabulary that byte_bpe_50k.json holds; both give the same ids.
 RANKS = "byte_bpe_50k.tiktoken"
+#: That vocabulary's added tokens, which are recognised wherever a text holds their names.
+ADDED = {"<|endoftext|>": 50256}
 #: That vocabulary's pre-tokenizer, in a form without backtracking; the same cuts.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 END_ID = 0
@@ -30,13 +32,13 @@ def tokenizer_path(name: str = RANKS) -> str:
 def _load(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def document_ids(text: str | None, path: str) -> np.ndarray:
-    """Unsigned 32-bit ids of the text, names of special tokens being ordinary text, and the end id."""
+    """Unsigned 32-bit ids of the text, names of added tokens being these tokens, and the end id."""
     encoding = worker_cache("encoding " + path, lambda: _load(path))
-    ids = encoding.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+    ids = encoding.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
 
 

@@ -68,6 +68,13 @@ def test_same_ids_as_the_public_tokenizer():
         assert tokens.document_ids(text, tokens.tokenizer_path()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_as_the_public_tokenizer():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} == tokens.ADDED
+    for text in ("abc <|endoftext|> d", "<|endoftext|>", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>'s", "<|endoftext|", "<|EndOfText|> <|pad|>", "x<|endoftext|>y" * 3000):
+        assert tokens.document_ids(text, tokens.tokenizer_path()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plan_equals_best_fit_decreasing(lengths):
