@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased; shingles are five words (a shorter item's is all its words).
+Words are runs of letters and digits, lower-cased; shingles are five words (a shorter item's is all its words, and
+documents are cut into shingles of such an item's length too).
 
 1. Every shingle of every document meets the items' shingles (broadcast while under `BROADCAST_ROWS`, else a shuffled
    join). A window as long as an item can only be similar if it shares a shingle, and a shared shingle aligns a window
@@ -51,6 +52,15 @@ def _positions(words: DataFrame, *keep: str) -> DataFrame:
     return long.unionByName(short)
 
 
+def _short_positions(words: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """_positions of a document: its five-word shingles, and those of each of the lengths below five."""
+    out = _positions(words.where(F.size("w") >= WORDS), *keep)
+    for n in lengths:
+        grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, F.lit(n)))))  # noqa: B023
+        out = out.unionByName(words.where(F.size("w") >= n).select(*keep, F.posexplode(grams).alias("pos", "gram")))
+    return out
+
+
 def gram_hashes(words: Column) -> Column:
     """Hashes of a word array's shingles, as in _positions."""
     each = F.transform(
@@ -86,7 +96,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int
     few = bounded_broadcast(grams, grams.count())
     keyed = docs.select(F.xxhash64(F.col(key).cast("long"), text).alias("key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = keyed.select("key", word_array(F.col("text")).alias("w"))
-    hits = staged(_positions(words, "key").join(few, "gram").select("key", "pos", "gram", "item", "n", (F.col("pos") - F.col("q")).alias("start")), "decon-hits")
+    short = [r.n for r in own.where(F.col("n") < WORDS).select("n").distinct().collect()]
+    hits = staged(_short_positions(words, short, "key").join(few, "gram").select("key", "pos", "gram", "item", "n", (F.col("pos") - F.col("q")).alias("start")), "decon-hits")
     windows = hits.groupBy("key", F.greatest("start", F.lit(0)).alias("start"), "n").count().drop("count")
     found = windows.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     found = staged(found, "decon-windows")

@@ -208,6 +208,14 @@ def test_decontamination(spark):
     assert decontamination.leaks(fixtures.empty(spark), spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_short_items_inside_longer_documents(spark):
+    items = [(1, "Quick"), (2, "brown fox"), (3, "the lazy dog"), (4, "one two three four"), (5, "one two three four five")]
+    docs = [(1, "the quick brown fox, jumps over the lazy dog"), (2, "quick"), (3, "brown; Fox"), (4, "so one two three four"), (5, "x one two three four five y"), (6, "brown dog fox"), (7, None)]
+    got = decontamination.leaks(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id, g.start) for g in got} == brute_leaks(docs, items) and {g.similarity for g in got} == {1.0}
+    assert {(g.doc_id, g.item_id) for g in got} >= {(1, 1), (1, 2), (1, 3), (4, 4), (5, 4), (5, 5)}
+
+
 def test_blocks_find_all_within_the_radius(spark):
     from pyspark.sql import functions as F
 
