@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
+"""Benchmark decontamination by aligned item-sized windows and their SimHashes, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words (a shorter item's is all its words, and
 documents are cut into shingles of such an item's length too).
@@ -6,11 +6,11 @@ documents are cut into shingles of such an item's length too).
 1. Every shingle of every document meets the items' shingles (broadcast while under `BROADCAST_ROWS`, else a shuffled
    join). A window as long as an item can only be similar if it shares a shingle, and a shared shingle aligns a window
    with the item: (document, start, item's size).
-2. These windows and the items get 64-bit SimHashes of their shingles, repeated shingles weighing as often as they
-   occur. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS bits agree on one at least, so a join on
-   (size, block, value) finds every such pair.
-3. Pairs within the radius are verified: weighted Jaccard of the two shingle multisets, min over max counts, from the
-   aligned shingles of step 1, which are all that they share. At least `percent` is a leak.
+2. Every such window is verified with each item of its size that shares a shingle with the document: weighted Jaccard
+   of the two shingle multisets, min over max counts, from the shared shingles of step 1, which are all that they
+   share. At least `percent` is a leak. No fingerprint decides, since none of 64 bits covers weighted borderline pairs.
+3. Found windows and their items get 64-bit SimHashes of their shingles, repeated shingles weighing as often as they
+   occur; distance tells how many bits differ.
 
 Defined cases: null or wordless documents and items match nothing; a document shorter than an item is compared as far
 as it goes; repeated rows are reported once for each (doc_id, item_id, start); items repeated under one id count once
@@ -88,7 +88,7 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     return F.array(*out)
 
 
-def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int = RADIUS, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start (word), n_words, distance (bits) and similarity of every leaked passage."""
     own = items.select(F.col(item).cast("long").alias("item_id"), word_array(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     own = staged(own.dropDuplicates().select("item_id", F.xxhash64("item_id", "w").alias("item"), "w", F.size("w").alias("n")), "decon-items")
@@ -97,28 +97,28 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int
     keyed = docs.select(F.xxhash64(F.col(key).cast("long"), text).alias("key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = keyed.select("key", word_array(F.col("text")).alias("w"))
     short = [r.n for r in own.where(F.col("n") < WORDS).select("n").distinct().collect()]
-    hits = staged(_short_positions(words, short, "key").join(few, "gram").select("key", "pos", "gram", "item", "n", (F.col("pos") - F.col("q")).alias("start")), "decon-hits")
-    windows = hits.groupBy("key", F.greatest("start", F.lit(0)).alias("start"), "n").count().drop("count")
-    found = windows.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
-    found = staged(found, "decon-windows")
-    texts = keyed.join(bounded_broadcast(found, found.count()), "key").select("key", "doc_id", word_array(F.col("text")).alias("w"), "windows")
-    cut = texts.select("key", "doc_id", "w", F.explode("windows").alias("x")).select("key", "doc_id", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.expr("slice(w, x.start + 1, x.n)").alias("w"))
-    marked = cut.where(F.size("w") > 0).select("key", "doc_id", "start", "n", F.size("w").alias("n_words"), simhash_of("w").alias("f"))
-    marked = staged(marked.dropDuplicates(), "decon-marked")
-    prints = own.select("item_id", "item", "n", simhash_of("w").alias("item_f"))
-    left = marked.select("*", F.explode(blocks(F.col("f"), radius)).alias("b")).select("*", "b.*").drop("b")
-    right = prints.select("*", F.explode(blocks(F.col("item_f"), radius)).alias("b")).select("*", "b.*").drop("b")
-    near = left.join(right, ["n", "block", "value"]).withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))))
-    near = near.where(F.col("distance") <= radius).select("key", "doc_id", "start", "n", "n_words", "item_id", "item", "distance").dropDuplicates()
-    inside = hits.select("key", "item", "pos", "gram").dropDuplicates()
-    there = near.join(inside, ["key", "item"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("start") + F.greatest(F.col("n_words") - WORDS, F.lit(0))))
-    by_gram = there.groupBy("key", "doc_id", "start", "n", "n_words", "item_id", "item", "distance", "gram").agg(F.count("*").alias("here"))
+    hits = staged(_short_positions(words.withColumn("size", F.size("w")), short, "key", "size").join(few, "gram").select("key", "size", "pos", "gram", "item", "n", (F.col("pos") - F.col("q")).alias("start")), "decon-hits")
+    first = F.greatest("start", F.lit(0)).alias("start")
+    windows = hits.select("key", first, "n", F.least("n", F.col("size") - first).alias("n_words")).distinct()
+    pairs = windows.join(hits.select("key", "n", "item").distinct(), ["key", "n"])
+    # A window reaches into two slots of its length; a shingle is in one, so only near ones meet.
+    slot = F.floor(F.col("start") / F.col("n"))
+    pairs = pairs.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    inside = hits.select("key", "item", "pos", "gram", F.floor(F.col("pos") / F.col("n")).alias("slot")).distinct()
+    there = pairs.join(inside, ["key", "item", "slot"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("start") + F.greatest(F.col("n_words") - WORDS, F.lit(0))))
+    by_gram = there.groupBy("key", "start", "n", "n_words", "item", "gram").agg(F.count("*").alias("here"))
     counts = grams.groupBy("item", "gram").agg(F.count("*").alias("of_item"))
-    both = by_gram.join(counts, ["item", "gram"]).groupBy("doc_id", "item_id", "item", "start", "n", "n_words", "distance", "key").agg(F.sum(F.least("here", "of_item")).alias("both"))
+    both = by_gram.join(counts, ["item", "gram"]).groupBy("key", "start", "n", "n_words", "item").agg(F.sum(F.least("here", "of_item")).alias("both"))
     size = lambda c: F.greatest(F.col(c) - (WORDS - 1), F.lit(1))
     scored = both.withColumn("similarity", F.col("both") / (size("n_words") + size("n") - F.col("both")))
-    kept = scored.where(100 * F.col("both") >= percent * (size("n_words") + size("n") - F.col("both")))
-    return kept.select("doc_id", "item_id", "start", "n_words", "distance", "similarity").dropDuplicates(["doc_id", "item_id", "start"])
+    kept = staged(scored.where(100 * F.col("both") >= percent * (size("n_words") + size("n") - F.col("both"))), "decon-kept")
+    found = staged(kept.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "decon-windows")
+    texts = keyed.join(bounded_broadcast(found, found.count()), "key").select("key", "doc_id", word_array(F.col("text")).alias("w"), "windows")
+    cut = texts.select("key", "doc_id", "w", F.explode("windows").alias("x")).select("key", "doc_id", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.expr("slice(w, x.start + 1, x.n)").alias("w"))
+    marked = cut.select("key", "doc_id", "start", "n", simhash_of("w").alias("f")).dropDuplicates()
+    prints = own.select("item_id", "item", simhash_of("w").alias("item_f"))
+    told = kept.join(marked, ["key", "start", "n"]).join(prints, "item").withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))))
+    return told.select("doc_id", "item_id", "start", "n_words", "distance", "similarity").dropDuplicates(["doc_id", "item_id", "start"])
 
 
 def simhash_of(words: str) -> Column:

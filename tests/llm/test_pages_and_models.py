@@ -216,6 +216,20 @@ def test_short_items_inside_longer_documents(spark):
     assert {(g.doc_id, g.item_id) for g in got} >= {(1, 1), (1, 2), (1, 3), (4, 4), (5, 4), (5, 5)}
 
 
+def test_weighted_borderline_pairs(spark):
+    """Similarity 0.8 by one shingle that is counted often: the fingerprints may be far apart."""
+    import random
+
+    r, items, docs = random.Random(9), [], []
+    for k in range(40):
+        words = fixtures.words(r, 40)
+        items.append((k, words + " ba" * 14))
+        docs.append((k, words + " ba" * 4))
+    got = decontamination.leaks(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert {(g.doc_id, g.item_id) for g in got} == {(d, i) for d, i, _ in want} == {(k, k) for k in range(40)}
+
+
 def test_blocks_find_all_within_the_radius(spark):
     from pyspark.sql import functions as F
 
