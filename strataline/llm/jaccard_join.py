@@ -6,12 +6,15 @@ fixed-size table, broadcast); any order is exact, this one keeps frequent passag
 above the threshold share `SHARED` tokens of their prefixes (or their whole overlap, if that is smaller), so the index
 lists hold prefixes only, and pairs that share fewer tokens of them are never looked at.
 
-Index-level skipping: lists are sorted by size and then by the token's position, so entries beyond the size bound are
-skipped together, and those that the position bound rules out with them. Answer-level skipping: first every class is
-verified against one leader only, of the leaders of its lists' size blocks the one that it shares most tokens with (a
-star: one pair a class); afterwards a pair within one component needs no work, and
-for a pair with a common leader the answers computed for the leader bound the pair's overlap from both sides, which
-often decides it without its sets. Only what is left is verified, so no link between different components is lost.
+Index-level skipping: lists are sorted by size and then by the token's position, in blocks that know their sizes, their
+furthest positions and their components; a block beyond a set's size or position bound is skipped whole.
+
+Answer-level skipping: first every class is verified against one leader only, of the leaders of its lists' size blocks
+the one that it shares most tokens with (a star: one pair a class); classes that share tokens with other components
+are then verified against one hub, the leader of most classes among their lists. An answer keeps the few elements in
+which leader and class differ. The overlap of two classes with answers from the same leader follows from these
+differences alone (`_derived`), so neither their sets nor their lists are looked at again. Only pairs of different
+components without a common leader are left to be verified, and no link between different components is lost.
 
 Links of a row (`near_duplicate_links`): links lie within components, so all pairs of classes of a component are
 counted, in blocks of `CHUNK` classes by `CHUNK` that are dealt out one by one; copies count as often as they occur.
@@ -48,6 +51,8 @@ CHUNK, CHUNK_TOKENS = 512, 1 << 20
 #: Rows of at most 40 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _HALF = 1 << 16
+#: Entries of a list that are skipped together.
+SKIP = 64
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -166,20 +171,21 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) ->
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted batches as tables that cut no run of equal tokens."""
+    """Sorted batches as tables that cut no run of equal tokens; a batch is looked at once, however long a run."""
     held: list[pa.RecordBatch] = []
+    rows, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < _HALF:
-            continue
-        table = pa.Table.from_batches(held)
-        token = table.column("token").to_numpy()
+        token = batch.column(batch.schema.get_field_index("token")).to_numpy()
         cut = int(np.searchsorted(token, token[-1]))
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
+        if cut == 0 and token[0] == last or rows + cut < _HALF:
+            held.append(batch)
+            rows += batch.num_rows
+        else:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held)
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+        last = token[-1]
     if held:
         yield pa.Table.from_batches(held)
 
@@ -242,10 +248,11 @@ def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return staged(found, "jaccard-texts")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int, answers: bool = False) -> DataFrame:
     """Written rows (a, b, na, nb, both, linked) of distinct pairs; a leader's set is copied for each STAR members.
 
-    known has the key of a document for each class.
+    known has the key of a document for each class. With answers, a column delta holds the elements that only one of
+    the two sets has, first those of a; it is null for pairs that share less than half of the larger set.
     """
     counted = pairs.groupBy("a").count().withColumn("salts", F.ceil(F.col("count") / STAR).cast("int")).drop("count")
     members = pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("cls"), F.lit(1).alias("side"))
@@ -255,9 +262,13 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int,
     asked = texts.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "side", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, current, leader = ["a", "b", "na", "nb", "both", "linked"], None, None
+        kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32(), "both": pa.int32(), "linked": pa.bool_()} | ({"delta": pa.list_(pa.int64())} if answers else {})
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+        current, leader, out, held = None, None, [], 0
         for batch in batches:
-            out = []
             for a, salt, side, cls, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingles(text, words)
                 if class_of(own) != cls:  # another text of a repeated id
@@ -269,61 +280,161 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int,
                     raise ValueError("a member came before its leader")
                 where = np.searchsorted(leader, own)
                 where[where == len(leader)] = 0
-                both = int(np.count_nonzero(leader[where] == own))
-                out.append((a, cls, len(leader), len(own), both, 100 * both >= percent * (len(leader) + len(own) - both)))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                hit = leader[where] == own
+                both = int(np.count_nonzero(hit))
+                row = (a, cls, len(leader), len(own), both, 100 * both >= percent * (len(leader) + len(own) - both))
+                if answers:
+                    delta = None
+                    if 2 * both >= max(len(leader), len(own)):
+                        left = np.ones(len(leader), bool)
+                        left[where[hit]] = False
+                        delta = _signed(np.concatenate([leader[left], own[~hit]]))
+                        held += len(delta)
+                    row = (*row, delta)
+                out.append(row)
+                if len(out) >= 4096 or held > 1 << 18:
+                    yield table(out)
+                    out, held = [], 0
+        if out:
+            yield table(out)
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
-    return staged(dealt.mapInArrow(run, "a long, b long, na int, nb int, both int, linked boolean"), "jaccard-verified")
+    schema = "a long, b long, na int, nb int, both int, linked boolean" + (", delta array<long>" if answers else "")
+    return staged(dealt.mapInArrow(run, schema), "jaccard-verified")
+
 
+def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Written lists (token, n, pos, before, cls, root) of tokens that classes of different components share.
 
-def _left_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure): candidate pairs of different components; sure where the leader's answers already prove the link."""
-    answers = stars.groupBy(F.col("b").alias("cls")).agg(F.max_by(F.struct(F.col("a").alias("via"), "na", F.col("both").alias("common")), F.struct("both", "a")).alias("s")).select("cls", "s.*")
-    # Of the tokens before this one only those in another list can be common.
+    before: how many of the class's earlier tokens are in any list; of these alone others can be common.
+    """
     placed = postings.withColumn("before", F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1)
-    known = (
-        placed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        .join(answers, "cls", "left")
-        .select("token", "n", "pos", "before", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("via", F.lit(0)).alias("via"), F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("common", F.lit(-1)).alias("common"))
-    )
+    rooted = placed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return staged(rooted.join(several, "token").select("token", "n", "pos", "before", "cls", "root"), "jaccard-mixed")
+
+
+def _hubs(mixed: DataFrame, stars: DataFrame) -> DataFrame:
+    """(a, b): for each class b of the mixed lists the leader a of most members that it shares SHARED tokens with."""
+    sizes = stars.where("delta IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("members")).where("members > 1")
+    best = mixed.join(sizes, "cls").groupBy("token").agg(F.max(F.struct("members", "cls")).alias("hub"))
+    met = mixed.join(best, "token").where("cls <> hub.cls").groupBy("cls", "hub").count().where(F.col("count") >= SHARED)
+    chosen = met.groupBy(F.col("cls").alias("b")).agg(F.max("hub").getField("cls").alias("a"))
+    return chosen.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+
+
+class Blocks:
+    """A list's entries, sorted by size and place, in blocks of SKIP: which blocks may hold a partner of an entry."""
+
+    def __init__(self, n: np.ndarray, place: np.ndarray, rest: np.ndarray, root: np.ndarray) -> None:
+        starts = np.arange(0, len(n), SKIP)
+        self.count, self.starts = len(n), starts
+        self.low_n, self.high_n = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
+        self.place, self.rest = np.maximum.reduceat(place, starts), np.maximum.reduceat(rest, starts)
+        self.low_root, self.high_root = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+
+    def after(self, i: int, n: int, place: int, rest: int, root: int, most: int, need) -> np.ndarray:
+        """Places of entries after i in blocks with some size up to most, another root, and room for the overlap needed."""
+        k = np.arange(i // SKIP, len(self.starts))
+        k = k[(self.low_n[k] <= most) & ((self.low_root[k] != root) | (self.high_root[k] != root))]
+        k = k[np.minimum(self.place[k], place) + 1 + np.minimum(self.rest[k], rest) >= need(n, np.maximum(self.low_n[k], n))]
+        if not len(k):
+            return k
+        j = (self.starts[k][:, None] + np.arange(SKIP)).ravel()
+        return j[(j > i) & (j < self.count)]
+
+
+def _derived(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Written links (a, b) between classes with an answer from the same leader L, from these answers alone.
+
+    With D the elements of L that a class lacks, A those that it has beyond L and delta the two together, the overlap of
+    x and y is |L| - |Dx| - |Dy| + |delta x & delta y|: the leader's answers and the few elements in which its sets
+    differ give theirs. A pair with both linked to L is joined through L; of any other at least one has
+    W = 100 |D| + percent |A| over K = (100 - percent) |L|, so that the deltas must share more than W / (100 + percent)
+    elements, W of the other. An index over the rarest elements of the deltas finds all such pairs.
+    """
+    unit = 100 + percent
+    answers = stars.where("delta IS NOT NULL").select(F.col("a").alias("via"), F.col("b").alias("cls"), "na", "nb", "delta", (F.col("na") - F.col("both")).alias("minus"), (F.col("nb") - F.col("both")).alias("plus")).dropDuplicates(["via", "cls"])
+    answers = answers.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    some = answers.groupBy("via").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("via")
+    weight, free = 100 * F.col("minus") + percent * F.col("plus"), (100 - percent) * F.col("na")
+    least = F.when(weight <= free, F.floor(weight / unit) + 1).otherwise(F.greatest(F.lit(1), F.ceil((weight - free) / unit)))
+    answers = staged(answers.join(some, "via").withColumns({"far": weight > free, "least": least.cast("int")}), "jaccard-answers")
+    # Elements that no other delta of the leader has can't be shared; without them more deltas become too small.
+    each = answers.select("via", "cls", "root", "na", "nb", "minus", "far", "least", F.explode("delta").alias("x"))
+    own, same = Window.partitionBy("via", "cls"), Window.partitionBy("via", "x")
+    for _ in range(2):
+        each = each.withColumn("held", F.count("*").over(same)).where("held > 1").withColumn("size", F.count("*").over(own)).where("size >= least")
+    ranked = each.withColumn("place", F.row_number().over(own.orderBy("held", "x")) - 1)
+    listed = ranked.where("place <= size - least").withColumn("token", F.xxhash64("via", "x"))
+    several = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("far").alias("any")).where("lo <> hi AND any").select("token")
+    listed = listed.join(several, "token").select("token", F.col("nb").alias("n"), "place", F.col("size"), "cls", "root", "via", "na", "minus", F.col("far").cast("int").alias("far"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches):
-            token, n, pos, before, cls, root, via, na, common = (table.column(i).to_numpy().astype(np.int64) for i in range(9))
+            token, n, place, size, cls, root, via, na, minus, far = (table.column(i).to_numpy().astype(np.int64) for i in range(10))
             edges = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
-            mixed = np.minimum.reduceat(root, edges[:-1]) != np.maximum.reduceat(root, edges[:-1])
-            left, right, sure, sizes = [], [], [], []
-            for lo, hi in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
+            found: list[tuple[np.ndarray, ...]] = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                at = slice(lo, hi)
+                index = Blocks(n[at], place[at], size[at] - place[at] - 1, root[at])
                 for i in range(lo, hi - 1):
-                    # Later entries are at least as large; those beyond the size bound are skipped together.
-                    end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // percent, side="right"))
-                    j = np.arange(i + 1, end)
-                    j = j[root[j] != root[i]]
-                    if not len(j):
-                        continue
-                    need = needed(n[i], n[j], percent)
-                    j = j[np.minimum(before[i], before[j]) + 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need]
-                    need = needed(n[i], n[j], percent)
-                    same = (via[j] == via[i]) & (common[j] >= 0) & (common[i] >= 0)
-                    most = np.where(same, np.minimum(common[i], common[j]) + np.minimum(n[i] - common[i], n[j] - common[j]), n[j])
-                    least = np.where(same, common[i] + common[j] - na[i], 0)
-                    kept = most >= need
-                    left.append(np.full(int(kept.sum()), cls[i]))
-                    right.append(cls[j[kept]])
-                    sure.append((least >= need)[kept])
-                    sizes.append(n[i] + n[j[kept]])
+                    most = 100 * n[i] // percent
+                    j = lo + index.after(i - lo, n[i], place[i], size[i] - place[i] - 1, root[i], most, lambda own, other: np.ones(len(other), np.int64))
+                    j = j[(root[j] != root[i]) & (via[j] == via[i]) & (n[j] <= most) & (far[j] + far[i] > 0)]
+                    need = needed(n[i], n[j], percent) - na[i] + minus[i] + minus[j]
+                    j = j[np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i] - 1, size[j] - place[j] - 1) >= need]
+                    found.append((np.full(len(j), via[i]), np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])))
+            if any(len(x[0]) for x in found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["via", "a", "b"])
+
+    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.repartition(parts, "token").sortWithinPartitions("token", "n", "place", "cls")
+    emitted = dealt.mapInArrow(run, "via long, a long, b long")
+    pairs = staged(emitted.distinct(), "jaccard-derivable")
+    one, other = (answers.select("via", F.col("cls").alias(c), F.col("na").alias(f"l{c}"), F.col("nb").alias(f"n{c}"), F.col("minus").alias(f"m{c}"), F.col("delta").alias(f"d{c}")) for c in "ab")
+    few = pairs.count() <= BROADCAST_ROWS
+    both = other.join(one.join(F.broadcast(pairs) if few else pairs, ["via", "a"]), ["via", "b"])
+    overlap = F.col("la") - F.col("ma") - F.col("mb") + F.size(F.array_intersect("da", "db"))
+    return staged(both.where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select("a", "b").distinct(), "jaccard-derived")
+
+
+def _left_pairs(mixed: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Written candidate pairs (a, b) of different components that have no leader's answer in common."""
+    vias = stars.where("delta IS NOT NULL").groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("via"), F.max("a").alias("also"))
+    known = mixed.join(vias, "cls", "left").select("token", "n", "pos", "before", "cls", "root", F.coalesce("via", "cls").alias("via"), F.coalesce("also", "cls").alias("also"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches):
+            token, n, pos, before, cls, root, via, also = (table.column(i).to_numpy().astype(np.int64) for i in range(8))
+            edges = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
+            left, right, sizes = [], [], []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                index = Blocks(n[lo:hi], before[lo:hi], n[lo:hi] - pos[lo:hi] - 1, root[lo:hi])
+                for i in range(lo, hi - 1):
+                    # Later entries are at least as large; blocks beyond the size or position bound are skipped whole.
+                    most = 100 * n[i] // percent
+                    j = lo + index.after(i - lo, n[i], before[i], n[i] - pos[i] - 1, root[i], most, lambda own, other: needed(own, other, percent))
+                    j = j[(root[j] != root[i]) & (n[j] <= most)]
+                    j = j[np.minimum(before[i], before[j]) + 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed(n[i], n[j], percent)]
+                    met = np.zeros(len(j), bool)
+                    for x in (via, also, cls):
+                        for y in (via, also, cls):
+                            met |= x[j] == y[i]
+                    j = j[~met]
+                    if len(j):
+                        left.append(np.full(len(j), cls[i]))
+                        right.append(cls[j])
+                        sizes.append(n[i] + n[j])
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(sure)), pa.array(np.concatenate(sizes))], names=["a", "b", "sure", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(sizes))], names=["a", "b", "size"])
 
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "cls")
-    found = dealt.mapInArrow(run, "a long, b long, sure boolean, size long").groupBy("a", "b", "size").agg(F.max("sure").alias("sure"), F.count("*").alias("shared"))
-    return staged(found.withColumn("none", F.lit(0)).where(F.col("shared") >= _enough("size", "none", percent)).select("a", "b", "sure"), "jaccard-left")
+    found = dealt.mapInArrow(run, "a long, b long, size long").groupBy("a", "b", "size").agg(F.count("*").alias("shared"))
+    return staged(found.withColumn("none", F.lit(0)).where(F.col("shared") >= _enough("size", "none", percent)).select("a", "b"), "jaccard-left")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -459,12 +570,12 @@ def _resolved(df: DataFrame, words: int, percent: int, key: str, text: str) -> t
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n").alias("n"), F.count("*").alias("n_rows"))
     known = staged(postings.select("cls").distinct().join(classes, "cls").select("cls", "key"), "jaccard-known")
     texts = _involved_texts(docs, known.select("key"))
-    stars = _verified(_stars(postings, percent), known, texts, words, percent)
+    stars = _verified(_stars(postings, percent), known, texts, words, percent, answers=True)
     links = stars.where("linked").select("a", "b")
     roots = components(links)
-    left = _left_pairs(postings, roots, stars, percent)
-    rest = _verified(left.where("not sure").select("a", "b"), known, texts, words, percent).where("linked").select("a", "b")
-    more = rest.unionByName(left.where("sure").select("a", "b"))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    return rows, classes, known, texts, roots
+    mixed = _mixed(postings, roots)
+    if mixed.isEmpty():
+        return rows, classes, known, texts, roots
+    stars = stars.unionByName(_verified(_hubs(mixed, stars), known, texts, words, percent, answers=True))
+    more = _derived(stars, roots, percent).unionByName(_verified(_left_pairs(mixed, stars, percent), known, texts, words, percent).where("linked").select("a", "b"))
+    return rows, classes, known, texts, components(stars.where("linked").select("a", "b").unionByName(more))

@@ -105,6 +105,24 @@ def test_jaccard_families_and_empty(spark):
     assert jaccard_join.near_duplicates(fixtures.empty(spark)).collect() == []
 
 
+def test_jaccard_outliers_of_a_family(spark):
+    """Lightly and heavily changed copies of one text: many components that share tokens, most pairs just under the threshold."""
+    import random
+
+    r = random.Random(5)
+    base = fixtures.words(r, 120).split()
+    rows = []
+    for n in range(400):
+        text, changes = list(base), r.choice([1, 1, 2, 3, 5, 6, 7, 8, 12])
+        for k in r.sample(range(len(text)), changes):
+            text[k] = f"new{r.randrange(60)}" if r.random() < 0.7 else ""
+        rows.append((n, " ".join(w for w in text if w)))
+    got = jaccard_join.near_duplicates(fixtures.frame(spark, rows), 5, 80).collect()
+    want = brute_components(rows, 5, 80)
+    assert Counter(map(tuple, got)) == want
+    assert len({c for _, _, c in want}) > 20
+
+
 def brute_links(rows, words, percent):
     sets = []
     for _, t in rows:
