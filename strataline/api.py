@@ -19,10 +19,11 @@ def export_tables(source, output, *, spark: SparkSession | None = None, options:
     return export.export_tree(session(spark), str(source), str(output), options or model.ExportOptions(**keywords), progress)
 
 
-def reconstruct_tables(source, output, *, spark: SparkSession | None = None, input_format: str = "jsonl", memo: str = "inline", overwrite: bool = False, progress: Callable | None = None) -> model.Run:
-    if input_format not in model.FORMATS:
-        raise ValueError(f"unknown input format: {input_format}")
-    return reconstruct.reconstruct_tree(session(spark), str(source), str(output), input_format, memo, overwrite, progress)
+def reconstruct_tables(source, output, *, spark: SparkSession | None = None, options: model.ReconstructionOptions | None = None, progress: Callable | None = None, **keywords) -> model.Run:
+    if options is not None and keywords:
+        raise ValueError("options and keywords can't be given together")
+    chosen = options or model.ReconstructionOptions(**keywords)
+    return reconstruct.reconstruct_tree(session(spark), str(source), str(output), chosen.input_format, chosen.memo, chosen.overwrite, progress)
 
 
 def verify_export(source, output, *, spark: SparkSession | None = None, formats: str | Iterable[str] = model.FORMATS, strict: bool = True, report: str | None = None, write_report: bool = True) -> model.Run:

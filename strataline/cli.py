@@ -1,4 +1,4 @@
-"""Command line: python -m strataline.cli export|reconstruct|verify|quality SOURCE OUTPUT [options]. Exit codes 0, 1 (failed), 2 (warnings)."""
+"""Command line: strataline export|reconstruct|verify|quality SOURCE OUTPUT [options], or one console script each. Exit codes 0, 1 (failed), 2 (warnings)."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("source")
         q.add_argument("output")
     e = p["export"]
-    e.add_argument("--formats", default="jsonl")
+    e.add_argument("--formats", default="", help="comma-separated; all formats if left out")
     e.add_argument("--memo", choices=("inline", "skip", "null"))
     e.add_argument("--strip-spaces", action="store_true")
     e.add_argument("--encoding", default="auto")
@@ -45,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     given = vars(parser().parse_args(argv))
+    if given.get("formats") == "":
+        given["formats"] = model.FORMATS
     run = {"export": api.export_tables, "reconstruct": api.reconstruct_tables, "verify": api.verify_export, "quality": api.check_quality}[given.pop("run")]
     try:
         done = run(given.pop("source"), given.pop("output"), **given)
@@ -62,5 +64,21 @@ def main(argv: list[str] | None = None) -> int:
     return done.exit_code
 
 
+def export_main(argv: list[str] | None = None) -> int:
+    return main(["export", *(sys.argv[1:] if argv is None else argv)])
+
+
+def reconstruct_main(argv: list[str] | None = None) -> int:
+    return main(["reconstruct", *(sys.argv[1:] if argv is None else argv)])
+
+
+def verify_main(argv: list[str] | None = None) -> int:
+    return main(["verify", *(sys.argv[1:] if argv is None else argv)])
+
+
+def quality_main(argv: list[str] | None = None) -> int:
+    return main(["quality", *(sys.argv[1:] if argv is None else argv)])
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -28,7 +28,12 @@ def _mazovia_table() -> str:
 
 
 def register() -> None:
-    """Makes mazovia, piast and pki known to Python's codecs."""
+    """Makes mazovia, piast and pki known to Python's codecs, once in a process."""
+    try:
+        codecs.lookup("mazovia")
+        return
+    except LookupError:
+        pass
     table = _mazovia_table()
     places = {ord(c): n for n, c in enumerate(table)}
 
@@ -61,6 +66,7 @@ def decode(data: bytes, primary: str, errors: str = "strict") -> tuple[str, bool
 
     Only strict decoding falls back; ignore and replace read by the primary alone.
     """
+    register()
     if errors != "strict":
         return data.decode(primary, errors), False
     for place, name in enumerate(attempts(primary)):
@@ -73,6 +79,7 @@ def decode(data: bytes, primary: str, errors: str = "strict") -> tuple[str, bool
 
 def encode(text: str, encodings: list[str]) -> bytes:
     """Bytes by the first encoding that has all the letters; raises if none has."""
+    register()
     for name in encodings:
         try:
             return text.encode(name)

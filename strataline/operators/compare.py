@@ -28,6 +28,14 @@ def positional_diff(expected: DataFrame, actual: DataFrame, ordinal: str, fields
     return found.orderBy("record", "field").limit(limit) if limit else found
 
 
+def sequence_diff(expected: DataFrame, actual: DataFrame, ordinal: str, fields: Sequence[str], limit: int) -> DataFrame:
+    """positional_diff of two sequences up to the first record that only one has, fields in their order, the first `limit` ones."""
+    found = positional_diff(expected, actual, ordinal, fields)
+    end = found.where("kind <> 'field'").agg(F.min("record").alias("_end"))
+    place = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
+    return found.join(F.broadcast(end)).where(F.col("_end").isNull() | (F.col("record") <= F.col("_end"))).drop("_end").orderBy("record", place).limit(limit)
+
+
 def record_diff(expected: DataFrame, actual: DataFrame, ordinal: str, record: str, limit: int | None = None) -> DataFrame:
     """(record, field, expected, actual, kind) as positional_diff, of JSON objects as text, over the keys of either side.
 

@@ -50,7 +50,16 @@ def canonical_line(values: Sequence[str]):
     return F.concat(F.to_json(F.array(*values), {"ignoreNullFields": "false"}), F.lit("\n"))
 
 
-def file_hashes(spark, path: str, glob: str = "*") -> DataFrame:
-    """(path, size_bytes, sha256) of files, each hashed by the task that reads it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+def hashes_of(spark, paths: Sequence[str], limit: int = 4096) -> DataFrame:
+    """(path, size_bytes, sha256) of files, each streamed by a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strataline.sources import files
+
+        for batch in batches:
+            found = [(p, files.size(p), files.sha256(p)) for p in batch.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["path", "size_bytes", "sha256"])
+
+    rows = spark.createDataFrame([(str(p),) for p in paths], "path string").repartition(max(1, min(len(paths), limit)))
+    return rows.mapInArrow(run, "path string, size_bytes long, sha256 string")

@@ -59,11 +59,11 @@ def complete_tables(results: DataFrame, formats: Sequence[str]) -> DataFrame:
     return results.groupBy("table_name").agg((F.size(F.array_except(F.array(*map(F.lit, formats)), good)) == 0).alias("complete"))
 
 
-def exit_code(results: DataFrame, warnings: str = "n_warnings") -> DataFrame:
-    """1 with a failure, else 2 with a warning, else 0."""
+def exit_code(results: DataFrame, warnings: str = "n_warnings", by: Sequence[str] = ()) -> DataFrame:
+    """1 with a failure, else 2 with a warning, else 0; of all results, or of each group's."""
     failed = F.count_if(F.col("status").isin(*FAILING)) > 0
     warned = F.count_if((F.col("status") == "WARNING") | (F.col(warnings) > 0)) > 0
-    return results.agg(F.when(failed, 1).when(warned, 2).otherwise(0).alias("exit_code"))
+    return results.groupBy(*by).agg(F.when(failed, 1).when(warned, 2).otherwise(0).alias("exit_code"))
 
 
 def tri_state(flag: str) -> list:

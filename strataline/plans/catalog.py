@@ -275,11 +275,9 @@ def complete_tables(spark, sf_dir):
     return profile.complete_tables(results(spark, sf_dir), FORMATS)
 
 
-@query(f"WITH {_RESULTS} SELECT format, (CASE WHEN count(*) FILTER (status IN ('FAILED', 'UNSUPPORTED')) > 0 THEN 1 WHEN count(*) FILTER (status = 'WARNING' OR n_warnings > 0) > 0 THEN 2 ELSE 0 END)::INTEGER AS exit_code FROM r WHERE format <> 'xlsx' GROUP BY format")
+@query(f"WITH {_RESULTS} SELECT format, (CASE WHEN count(*) FILTER (status IN ('FAILED', 'UNSUPPORTED')) > 0 THEN 1 WHEN count(*) FILTER (status = 'WARNING' OR n_warnings > 0) > 0 THEN 2 ELSE 0 END)::INTEGER AS exit_code FROM r GROUP BY format")
 def exit_code(spark, sf_dir):
-    rows = results(spark, sf_dir)
-    parts = [profile.exit_code(rows.where(F.col("format") == f)).select(F.lit(f).alias("format"), "exit_code") for f in FORMATS[:3]]
-    return policies.complete_union(parts)
+    return profile.exit_code(results(spark, sf_dir), by=["format"])
 
 
 @query(f"WITH {_RESULTS} SELECT array_to_string(list_sort(list(DISTINCT table_name)), ',') AS tables, array_to_string(list_sort(list(DISTINCT format)), ',') AS formats FROM r")
@@ -484,11 +482,11 @@ def memo_roundtrip(spark, sf_dir):
     return back.select(F.col("CONV").cast("long").alias("conv_id"), F.col("TURN").cast("long").alias("turn"), F.col("TEXT").alias("text"))
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def jsonl_to_json(spark, sf_dir):
     path = as_jsonl(spark, table(spark, sf_dir, "documents"), "doc_id", "docs")
     records.jsonl_to_json(spark, path, path[:-1])
-    return read_back(spark, path[:-1], "json", "doc_id long, lang string, source string, n_chars long")
+    return read_back(spark, path[:-1], "json", "doc_id long, text string, lang string, source string, n_chars long")
 
 
 @query("SELECT doc_id, text, lang, source, n_chars::VARCHAR AS n_chars FROM documents")

@@ -7,7 +7,7 @@ from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
-from strataline.operators import compare
+from strataline.operators import compare, hashing
 from strataline.plans import model
 from strataline.sources import files
 
@@ -17,13 +17,15 @@ KEYS = ("relative_path", "dbf_size", "dbf_sha256", "fpt_size", "fpt_sha256", "cd
 _PRINT = "relative_path string, dbf_size long, dbf_sha256 string, fpt_size long, fpt_sha256 string, cdx_size long, cdx_sha256 string"
 
 
-def fingerprint(table: files.FoundTable, root: str) -> dict:
-    """Size and hash of a table's files."""
-    out: dict = {"relative_path": table.relative}
-    for name, path in (("dbf", table.path), ("fpt", table.memo), ("cdx", table.index)):
-        there = path is not None and files.exists(path)
-        out[f"{name}_size"] = files.at(path)[0].get_file_info(files.at(path)[1]).size if there else None
-        out[f"{name}_sha256"] = files.sha256(path) if there else None
+def fingerprints(spark: SparkSession, tables: list) -> dict[str, dict]:
+    """Sizes and hashes of the tables' files by relative path; each file is hashed by a task, as a stream."""
+    paths = [p for t in tables for p in (t.path, t.memo, t.index) if p is not None and files.exists(p)]
+    found = {r.path: (r.size_bytes, r.sha256) for r in hashing.hashes_of(spark, paths).collect()} if paths else {}
+    out = {}
+    for t in tables:
+        out[t.relative] = {"relative_path": t.relative}
+        for name, path in (("dbf", t.path), ("fpt", t.memo), ("cdx", t.index)):
+            out[t.relative][f"{name}_size"], out[t.relative][f"{name}_sha256"] = found.get(path, (None, None))
     return out
 
 
@@ -41,15 +43,20 @@ def load_manifest(output: str) -> tuple[dict | None, str | None]:
     return found, None
 
 
-def output_is_intact(result: dict, output: str) -> bool:
-    """Whether a result's files are there with the hashes that it names."""
+def output_paths(result: dict, output: str) -> list[str]:
+    """The files that a result names, as far as they are there, inside the output."""
+    return [result[p] for p in ("output", "schema_output", "deleted_output") if result.get(p) and result[p].startswith(output) and files.exists(result[p])]
+
+
+def output_is_intact(result: dict, output: str, digests: dict[str, str]) -> bool:
+    """Whether a result's files are there with the hashes that it names; digests are those found."""
     for path, digest in (("output", "output_sha256"), ("schema_output", "schema_sha256"), ("deleted_output", "deleted_sha256")):
         if result.get(path):
             try:
                 files.safe_relative(result[path].removeprefix(output).lstrip("/"))
             except ValueError:
                 return False
-            if not result[path].startswith(output) or not files.exists(result[path]) or files.sha256(result[path]) != result.get(digest):
+            if not result[path].startswith(output) or digests.get(result[path]) is None or digests[result[path]] != result.get(digest):
                 return False
     return True
 
@@ -58,7 +65,9 @@ def split(spark: SparkSession, tables: list, prints: dict, manifest: dict | None
     """Tables to convert, and the results to use again."""
     if manifest is None or manifest.get("signature") != json.loads(json.dumps(options.signature())):
         return tables, []
-    known = {t["fingerprint"]["relative_path"]: t for t in manifest["tables"] if all(output_is_intact(r, output) for r in t["results"])}
+    paths = sorted({p for t in manifest["tables"] for r in t["results"] for p in output_paths(r, output)})
+    digests = {r.path: r.sha256 for r in hashing.hashes_of(spark, paths).collect()} if paths else {}
+    known = {t["fingerprint"]["relative_path"]: t for t in manifest["tables"] if all(output_is_intact(r, output, digests) for r in t["results"])}
     rows = lambda many: spark.createDataFrame([tuple(p[k] for k in KEYS) for p in many], _PRINT)
     found, old = rows(prints.values()), rows([t["fingerprint"] for t in known.values()])
     again = {r.relative_path for r in compare.to_reuse(found, old, KEYS).select("relative_path").collect()}

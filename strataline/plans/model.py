@@ -42,6 +42,19 @@ class ExportOptions:
         return out | {"formats": sorted(self.formats), "output_version": 1}
 
 
+@dataclass
+class ReconstructionOptions:
+    input_format: str = "jsonl"
+    memo: str = "inline"
+    overwrite: bool = False
+
+    def __post_init__(self) -> None:
+        if self.input_format not in FORMATS:
+            raise ValueError(f"unknown input format: {self.input_format}")
+        if self.memo not in ("inline", "skip", "null"):
+            raise ValueError(f"unknown memo policy: {self.memo}")
+
+
 @dataclass
 class TableResult:
     table: str
@@ -61,6 +74,11 @@ class TableResult:
     deleted_sha256: str | None = None
     overflow_values: int = 0
     overflow_parts: int = 0
+    overflow_sheets: int = 0
+    sheets: int = 0
+    encoding: str | None = None
+    memo_fields: list[str] = field(default_factory=list)
+    engine: str = "spark"
     seconds: float = 0.0
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
@@ -106,10 +124,10 @@ class Run:
 
     @property
     def successful(self) -> bool:
-        return self.exit_code != 1
+        return self.exit_code == 0
 
     def raise_for_errors(self) -> None:
-        if not self.successful:
+        if self.exit_code == 1:
             raise RunFailed("; ".join(f"{r.table}: {e}" for r in self.results for e in r.errors[:5]) or "the run failed")
 
 

@@ -14,7 +14,8 @@ from strataline.functions import scalars
 from strataline.operators import compare, hashing
 from strataline.plans import model
 from strataline.sources import dbf_sink, files, records, sidecar
-from strataline.sources.dbf_source import read_table
+from strataline.plans.export import in_order, reason, record_line
+from strataline.sources.dbf_source import layout_of, read_table
 
 
 @dataclass
@@ -90,9 +91,6 @@ def canonical_sha256(rows: DataFrame, described: dict) -> str:
 
 def table_records(spark: SparkSession, path: str, memo: str | None, encoding: str) -> DataFrame:
     """(_ordinal, record) of a table file, as its export would be."""
-    from strataline.plans.export import record_line
-    from strataline.sources.dbf_source import layout_of
-
     layout = layout_of(path, encoding)
     scanned = read_table(spark, path, memo, encoding=encoding)
     return scanned.select("_ordinal", record_line(layout, model.ExportOptions(), "inline", True).alias("record"))
@@ -118,7 +116,7 @@ def reconstruct_one(spark: SparkSession, source: str, relative: str, output: str
             result.canonical_sha256_input, result.canonical_sha256_output = canonical_sha256(expected, described), canonical_sha256(actual, described)
             result.canonical_match = result.canonical_sha256_input == result.canonical_sha256_output
             if not result.canonical_match:
-                result.differences = [r.asDict() for r in compare.positional_diff(expected, actual, "_ordinal", fields, 20).collect()]
+                result.differences = [r.asDict() for r in compare.sequence_diff(expected, actual, "_ordinal", ["deleted", *fields], 20).collect()]
                 result.errors.append("the rebuilt table's canonical values differ")
         finally:
             rows.unpersist()
@@ -131,21 +129,17 @@ def reconstruct_one(spark: SparkSession, source: str, relative: str, output: str
             result.warnings.append("the rebuilt files aren't byte for byte the source's")
         result.status = model.FAILED if result.errors else model.WARNING if result.warnings else model.OK
     except Exception as e:  # noqa: BLE001  one table's failure doesn't stop the others
-        from strataline.plans.export import _reason
-
         result.status = model.FAILED
-        result.errors.append(_reason(e)[:300])
+        result.errors.append(reason(e)[:300])
     return result
 
 
 def reconstruct_tree(spark: SparkSession, source: str, output: str, input_format: str = "jsonl", memo: str = "inline", overwrite: bool = False, progress: Callable | None = None) -> model.Run:
     source, output = str(source).rstrip("/"), str(output).rstrip("/")
     inputs = files.discover_inputs(source, input_format)
-    out = []
-    for n, relative in enumerate(inputs, 1):
-        out.append(reconstruct_one(spark, files.root_of(source), relative, output, input_format, memo, overwrite))
-        if progress:
-            progress("reconstruct", n, len(inputs), relative)
+    root = files.root_of(source)
+    told = (lambda n, relative: progress("reconstruct", n, len(inputs), relative)) if progress else None
+    out = in_order(lambda relative: reconstruct_one(spark, root, relative, output, input_format, memo, overwrite), inputs, told)
     run = model.Run(out, exit_code=model.exit_code(out))
     tri = lambda name: {k: sum(getattr(r, name) is v for r in out) for k, v in (("true", True), ("false", False), ("unknown", None))}
     run.summary = {"tables": len(out), "failed": run.failed, "canonical_match": tri("canonical_match"), "dbf_raw_match": tri("dbf_raw_match"), "fpt_raw_match": tri("fpt_raw_match")}

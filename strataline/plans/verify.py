@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strataline.plans import model
+from strataline.operators import hashing
+from strataline.plans import export, model
 from strataline.sources import files, records, sidecar
 from strataline.sources.dbf_source import layout_of, read_table
 
@@ -55,7 +56,7 @@ def load_report(output: str) -> dict[tuple[str, str], dict] | None:
     return out
 
 
-def verify_table(spark: SparkSession, table: files.FoundTable, output: str, formats, report: dict | None) -> TableCheck:
+def verify_table(spark: SparkSession, table: files.FoundTable, output: str, formats, report: dict | None, digests: dict[str, str]) -> TableCheck:
     check = TableCheck(table.relative)
     try:
         described = sidecar.load(sidecar.sidecar_path(output, table.relative))
@@ -63,6 +64,8 @@ def verify_table(spark: SparkSession, table: files.FoundTable, output: str, form
         check.errors.append(f"sidecar: {e}")
         return check
     layout = layout_of(table.path, described["dbf"]["encoding"])
+    if layout.memo_fields and table.memo is None:
+        check.warnings.append("the table has memo fields and no memo file")
     row = read_table(spark, table.path, table.memo, encoding=described["dbf"]["encoding"], errors="replace", missingMemo="null-with-warning", columns="-").agg(F.count_if(~F.col("_deleted")), F.count_if("_deleted")).first()
     check.active, check.deleted = row[0], row[1]
     own = [(f.name, f.dbf_type, f.length, f.decimals) for f in layout.fields]
@@ -79,8 +82,8 @@ def verify_table(spark: SparkSession, table: files.FoundTable, output: str, form
         if report is not None and entry is None:
             made.warnings.append("the report has no entry")
         # An export that includes deleted rows has them in its data file.
-        if entry and entry["records"] == check.active + check.deleted:
-            made.expected = entry["records"]
+        if entry and entry["active_records"] == check.active + check.deleted:
+            made.expected = entry["active_records"]
         if not files.exists(made.path):
             made.errors.append("the file is missing")
             continue
@@ -88,7 +91,7 @@ def verify_table(spark: SparkSession, table: files.FoundTable, output: str, form
         made.errors += problems
         if not problems and made.found != made.expected:
             made.errors.append(f"{made.found} records, expected {made.expected}")
-        if entry and entry.get("output_sha256") and files.sha256(made.path) != entry["output_sha256"]:
+        if entry and entry.get("sha256") and digests.get(made.path) != entry["sha256"]:
             made.errors.append("the file's hash differs from the report's")
     return check
 
@@ -97,7 +100,10 @@ def verify_tree(spark: SparkSession, source: str, output: str, formats=model.FOR
     source, output = str(source).rstrip("/"), str(output).rstrip("/")
     formats = model.normal_formats(formats)
     report = load_report(output)
-    checks = [verify_table(spark, t, output, formats, report) for t in files.discover_tables(source)]
+    tables = files.discover_tables(source)
+    there = [p for t in tables for f in formats if files.exists(p := sidecar.data_path(output, t.relative, f))]
+    digests = {r.path: r.sha256 for r in hashing.hashes_of(spark, there).collect()} if there else {}
+    checks = export.in_order(lambda t: verify_table(spark, t, output, formats, report, digests), tables)
     problems = ["the migration report is missing"] if report is None else []
     totals = {f: {"files": 0, "records": 0, "errors": 0} for f in formats}
     for c in checks:

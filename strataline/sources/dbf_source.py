@@ -8,14 +8,23 @@ recordsPerPartition.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataline.sources import files
 from strataline.sources import table_format as tf
 
 RECORDS = 200_000
+#: Records and bytes of an Arrow batch.
+BATCH, BATCH_BYTES = 8192, 1 << 24
+WIDE = Context(prec=80)
 EXTRA = (
     T.StructField("_ordinal", T.LongType()),
     T.StructField("_deleted", T.BooleanType()),
@@ -53,16 +62,38 @@ def layout_of(path: str, encoding: str = "auto", errors: str = "strict") -> tf.L
     return tf.parse_layout(files.read_bytes(path, int.from_bytes(head[8:10], "little")), encoding, errors)
 
 
-def records_before_end(filesystem, path: str, layout: tf.Layout, count: int) -> int:
-    """Records before the first end mark, from the markers alone; an earlier mark ends the table for every partition."""
+def marked_end(f, layout: tf.Layout, first: int, last: int) -> int | None:
+    """Ordinal of the first end mark among records [first, last) of an open table file, from the markers alone."""
     step = max(1, (1 << 24) // layout.record_length)
-    with filesystem.open_input_file(path) as f:
-        for first in range(0, count, step):
-            f.seek(layout.header_length + first * layout.record_length)
-            markers = f.read(step * layout.record_length)[:: layout.record_length]
-            if (end := markers.find(b"\x1a")) >= 0:
-                return first + end
-    return count
+    for at in range(first, last, step):
+        f.seek(layout.header_length + at * layout.record_length)
+        markers = f.read(min(step, last - at) * layout.record_length)[:: layout.record_length]
+        if (end := markers.find(b"\x1a")) >= 0:
+            return at + end
+    return None
+
+
+def ranges(path: str, layout: tf.Layout, size: int) -> list[tuple[int, int]]:
+    """Ranges of at most size records up to the file's end; the header's count isn't relied on."""
+    count = -(-max(0, files.size(path) - layout.header_length) // layout.record_length)
+    return [(a, min(a + size, count)) for a in range(0, count, size)] or [(0, 0)]
+
+
+def end_of(spark: SparkSession, path: str, layout: tf.Layout, size: int) -> int | None:
+    """The first end mark of a table of several ranges, each looked through by a task; it ends the table for all of them."""
+    found = ranges(path, layout, size)
+    if len(found) < 2:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, p = files.at(path)
+        for batch in batches:
+            with filesystem.open_input_file(p) as f:
+                ends = [marked_end(f, layout, a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())], names=["end"])
+
+    rows = spark.createDataFrame(found, "a long, b long").repartition(min(len(found), 4096))
+    return rows.mapInArrow(run, "end long").agg(F.min("end")).first()[0]
 
 
 class Range(InputPartition):
@@ -71,32 +102,46 @@ class Range(InputPartition):
 
 
 class TableReader(DataSourceReader):
+    """Ranges of records, read as Arrow batches."""
+
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.options, self.read_schema = options, schema
 
     def partitions(self) -> list[Range]:
-        layout = layout_of(self.options["path"], self.options.get("encoding", "auto"), self.options.get("errors", "strict"))
-        size = int(self.options.get("recordsperpartition", self.options.get("recordsPerPartition", RECORDS)))
-        filesystem, p = files.at(self.options["path"])
-        there = max(0, filesystem.get_file_info(p).size - layout.header_length)
-        # Records that the header doesn't count are read as well, until the end mark or the file's end.
-        count = -(-there // layout.record_length)
-        if count > size:
-            count = records_before_end(filesystem, p, layout, count)
-        return [Range(a, min(a + size, count)) for a in range(0, count, size)] or [Range(0, 0)]
-
-    def read(self, part: Range):
         o = self.options
-        errors = o.get("errors", "strict")
+        layout = layout_of(o["path"], o.get("encoding", "auto"), o.get("errors", "strict"))
+        found = ranges(o["path"], layout, int(o.get("recordsperpartition", o.get("recordsPerPartition", RECORDS))))
+        end = o.get("end")
+        if end is None and len(found) > 1:  # not through read_table, whose tasks look for the mark
+            filesystem, p = files.at(o["path"])
+            with filesystem.open_input_file(p) as f:
+                end = marked_end(f, layout, 0, found[-1][1])
+        return [Range(a, b if end is None else min(b, int(end))) for a, b in found if end is None or a < int(end)] or [Range(0, 0)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        o = self.options
+        errors, missing = o.get("errors", "strict"), o.get("missingmemo", o.get("missingMemo", "fail"))
         layout = layout_of(o["path"], o.get("encoding", "auto"), errors)
         tf.check_supported(layout)
         wanted = set(o["columns"].split(",")) if o.get("columns") else None
+        schema = to_arrow_schema(self.read_schema)
         filesystem, p = files.at(o["path"])
         memo_file = None
         if o.get("memo"):
             memo_system, memo_path = files.at(o["memo"])
             memo_file = memo_system.open_input_file(memo_path)
         memo = tf.Memo(memo_file) if memo_file else None
+
+        def column(values: tuple, kind: pa.DataType) -> pa.Array:
+            if pa.types.is_decimal(kind):
+                unit = Decimal(1).scaleb(-kind.scale)
+                values = [None if v is None else v.quantize(unit, ROUND_HALF_UP, WIDE) for v in values]
+            return pa.array(values, kind)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        rows, held = [], 0
         with filesystem.open_input_file(p) as f:
             f.seek(layout.header_length + part.first * layout.record_length)
             for ordinal in range(part.first, part.last):
@@ -106,10 +151,16 @@ class TableReader(DataSourceReader):
                 if len(raw) < layout.record_length or raw[:1] not in (b" ", b"*"):
                     raise tf.FormatError(f"record {ordinal + 1}: " + ("cut short" if len(raw) < layout.record_length else f"marker {raw[:1]!r}"))
                 try:
-                    values, raw_texts, binary = tf.read_record(layout, raw, memo, errors, wanted, o.get("missingmemo", o.get("missingMemo", "fail")))
+                    values, raw_texts, binary = tf.read_record(layout, raw, memo, errors, wanted, missing)
                 except tf.FormatError as e:
                     raise tf.FormatError(f"record {ordinal + 1}: {e}") from e
-                yield (*values, ordinal, raw[:1] == b"*", raw, raw_texts, binary)
+                rows.append((*values, ordinal, raw[:1] == b"*", raw, list(raw_texts.items()), binary))
+                held += len(raw) + sum(len(v) for v in values if isinstance(v, (str, bytes)))
+                if len(rows) == BATCH or held > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
         if memo_file:
             memo_file.close()
 
@@ -132,7 +183,9 @@ def read_table(spark: SparkSession, path: str, memo: str | None = None, **option
     """DataFrame of a table file; _ordinal is the disk order."""
     spark.dataSource.register(TableSource)
     reader = spark.read.format("strataline_dbf").option("path", str(path))
-    for k, v in ({"memo": memo} | options).items():
+    layout = layout_of(path, options.get("encoding") or "auto", options.get("errors") or "strict")
+    end = end_of(spark, str(path), layout, int(options.get("recordsPerPartition") or RECORDS))
+    for k, v in ({"memo": memo, "end": end} | options).items():
         if v is not None:
             reader = reader.option(k, str(v))
     return reader.load()

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +43,11 @@ def read_bytes(path: str, size: int | None = None) -> bytes:
         return f.read(size) if size is not None else f.read()
 
 
+def size(path: str) -> int:
+    filesystem, p = at(path)
+    return filesystem.get_file_info(p).size or 0
+
+
 def sha256(path: str) -> str:
     filesystem, p = at(path)
     state = hashlib.sha256()
@@ -157,39 +166,109 @@ def stage_lines(df: DataFrame, column: str, order: list[str], folder: str, joine
     return sorted((r.part, r.name, r.n) for r in ordered.mapInArrow(write, "part int, name string, n long").collect() if r.n)
 
 
+@dataclass(frozen=True)
+class BlockPart:
+    """Lines of one input block, as written: how many, and how many weren't written (null), the first of these by its place."""
+
+    block: int
+    name: str
+    n: int
+    bad: int
+    first_bad: int | None
+
+
+def stage_blocks(df: DataFrame, folder: str, joiner: str) -> list[BlockPart]:
+    """Writes (block, line) rows in the order in which tasks read them, a part file for each block, without a shuffle.
+
+    A block is a split of an input file, whose rows reach one task in order; null lines are counted, not written.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, p = at(folder)
+        filesystem.create_dir(p, recursive=True)
+        kinds = {"block": pa.int64(), "name": pa.string(), "n": pa.int64(), "bad": pa.int64(), "first_bad": pa.int64()}
+        out, state = None, None
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pylist([state], schema=pa.schema(list(kinds.items())))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for lo, hi in itertools.pairwise(edges):
+                if state is None or state["block"] != int(block[lo]):
+                    if out is not None:
+                        yield closed()
+                    name = f"part-{int(block[lo]):016d}-{uuid.uuid4().hex[:12]}"
+                    out, state = filesystem.open_output_stream(f"{p}/{name}", compression=None), {"block": int(block[lo]), "name": name, "n": 0, "bad": 0, "first_bad": None}
+                lines = batch.column(1).slice(lo, hi - lo)
+                if lines.null_count:
+                    if state["first_bad"] is None:
+                        state["first_bad"] = state["n"] + state["bad"] + pc.index(lines.is_null(), True).as_py()
+                    state["bad"] += lines.null_count
+                    lines = lines.drop_null()
+                if len(lines):
+                    text = pa.large_string()
+                    joined = pc.binary_join_element_wise(pa.scalar(joiner, text), lines.cast(text), pa.scalar("", text))
+                    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+                    first = int(offsets[0]) + (0 if state["n"] else len(joiner.encode()))
+                    out.write(joined.buffers()[2].slice(first, int(offsets[-1]) - first))
+                    state["n"] += len(lines)
+        if out is not None:
+            yield closed()
+
+    done = df.select("block", "line").mapInArrow(write, "block long, name string, n long, bad long, first_bad long").collect()
+    return sorted((BlockPart(r.block, r.name, r.n, r.bad, r.first_bad) for r in done), key=lambda x: (x.block, x.name))
+
+
+def joined_parts(path: str, folder: str, names: list[str], head: bytes, between: bytes, tail: bytes, empty: bytes | None, overwrite: bool) -> None:
+    """One file of part files in order, copied as bytes."""
+    filesystem, p = at(folder)
+
+    def chunks() -> Iterator[bytes]:
+        if not names and empty is not None:
+            yield empty
+            return
+        yield head
+        for k, name in enumerate(names):
+            if k:
+                yield between
+            with filesystem.open_input_stream(f"{p}/{name}", compression=None) as f:
+                while block := f.read(1 << 24):
+                    yield block
+        yield tail
+
+    write_atomic(path, chunks(), overwrite)
+
+
+def drop_folder(folder: str) -> None:
+    filesystem, p = at(folder)
+    if filesystem.get_file_info(p).type == fs.FileType.Directory:
+        filesystem.delete_dir(p)
+
+
 def write_single(df: DataFrame, column: str, order: list[str], path: str, head: bytes = b"", between: bytes = b"\n", tail: bytes = b"\n", empty: bytes | None = None, overwrite: bool = True, joiner: str = "\n") -> int:
     """One file of a text column's values in order: head, the values with `between` in between, tail. Returns the values."""
     ensure_free(path, overwrite)
     folder = f"{path}.parts-{uuid.uuid4().hex[:8]}"
-    filesystem, p = at(folder)
     try:
         parts = stage_lines(df, column, order, folder, joiner)
-
-        def chunks():
-            if not parts and empty is not None:
-                yield empty
-                return
-            yield head
-            for k, (_, name, _) in enumerate(parts):
-                if k:
-                    yield between
-                with filesystem.open_input_stream(f"{p}/{name}", compression=None) as f:
-                    while block := f.read(1 << 22):
-                        yield block
-            yield tail
-
-        write_atomic(path, chunks(), overwrite)
+        joined_parts(path, folder, [name for _, name, _ in parts], head, between, tail, empty, overwrite)
         return sum(n for *_, n in parts)
     finally:
-        if filesystem.get_file_info(p).type == fs.FileType.Directory:
-            filesystem.delete_dir(p)
+        drop_folder(folder)
 
 
 def workspace(spark, name: str) -> str:
-    """A fresh folder that driver and tasks share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataline-")
+    """A fresh folder that driver and tasks share: under spark.checkpoint.dir, or a temporary one on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; a cluster needs a folder that all its machines share")
+        root = tempfile.mkdtemp(prefix="strataline-")
     path = f"{root.rstrip('/')}/strataline-files/{name}-{uuid.uuid4().hex[:12]}"
     filesystem, p = at(path)
     filesystem.create_dir(p, recursive=True)

@@ -6,14 +6,19 @@ Errors name lines, never contents.
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
 import json
 import time
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +26,12 @@ from pyspark.sql import types as T
 from strataline.operators import overflow, policies, profile
 from strataline.sources import files, xlsx
 
+#: Bytes of the ranges that fixed_lines reads, and seconds between two looks at a running conversion.
+SPLIT, POLL = 32 << 20, 0.1
 INPUT_FORMATS = ("jsonl", "json", "csv", "xlsx")
 #: Field types whose CSV cells are text.
 TEXT_TYPES = ("C", "V", "D", "T", "@", "M", "G", "P", "Q", "W")
+#: Names of declared column types.
 KINDS = {"boolean": "boolean", "bool": "boolean", "float": "double", "number": "double", "integer": "bigint", "int": "bigint", "null": "string", "str": "string", "string": "string", "text": "string"}
 
 
@@ -47,6 +55,7 @@ class ConversionStats:
     sheets: int = 0
     overflow_values: int = 0
     overflow_parts: int = 0
+    overflow_sheets: int = 0
     columns: list[str] = field(default_factory=list)
 
     @property
@@ -55,14 +64,86 @@ class ConversionStats:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(block, place, line) of a text file's non-blank lines, the byte-order mark removed."""
+    """(block, place, line) of a text file's non-blank lines, the byte-order mark removed.
+
+    Blocks are the splits of this very read: they order lines within one pass, and mean nothing to another.
+    """
     text = spark.read.text(str(path)).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
-    bare = F.when((F.col("block") == 0) & F.col("line").startswith("﻿"), F.substring("line", 2, 2**31 - 1)).otherwise(F.col("line"))
+    return _trimmed(text)
+
+
+def _trimmed(text: DataFrame) -> DataFrame:
+    bare = F.when((F.col("block") == 0) & F.col("line").startswith("\ufeff"), F.substring("line", 2, 2**31 - 1)).otherwise(F.col("line"))
     return text.withColumn("line", F.regexp_replace(bare, "\r$", "")).where(F.length(F.trim("line")) > 0)
 
 
+def fixed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """lines over ranges of SPLIT bytes that are set here: every read, on any cluster, numbers them alike."""
+    path = str(path)
+    filesystem, p = files.at(path)
+    size = filesystem.get_file_info(p).size or 0
+    count = max(1, -(-size // SPLIT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, p = files.at(path)
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                with filesystem.open_input_file(p) as f:
+                    yield from _range_lines(f, number * SPLIT, (number + 1) * SPLIT)
+
+    ranges = spark.range(0, count, 1, min(count, 4096))
+    return _trimmed(ranges.mapInArrow(run, "block long, place long, line string"))
+
+
+def _range_lines(f, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Lines that begin in [start, end) of a binary file, the last one read to its end."""
+    at, place, size, held = start, 0, 1 << 22, b""
+    if start:
+        # A line begins here only if a line end is just before.
+        f.seek(start - 1)
+        at -= 1
+        while True:
+            data = f.read(size)
+            cut = data.find(b"\n")
+            if cut >= 0 or not data:
+                at, held = at + cut + 1, data[cut + 1 :]
+                break
+            at += len(data)
+            if at >= end:
+                return
+        if not data:
+            return
+    while at < end:
+        cut = held.rfind(b"\n")
+        if cut < 0:
+            data = f.read(size)
+            if not data:
+                if held:
+                    yield _line_batch(start, place, [held])
+                return
+            held, size = held + data, size * 2 if held else size
+            continue
+        found, held = held[:cut].split(b"\n"), held[cut + 1 :]
+        if at + cut + 1 > end:
+            here, kept = at, 0
+            while kept < len(found) and here < end:
+                here += len(found[kept]) + 1
+                kept += 1
+            found, held = found[:kept], b""
+            at = max(here, end)
+        else:
+            at += cut + 1
+        yield _line_batch(start, place, found)
+        place += len(found)
+
+
+def _line_batch(block: int, place: int, found: list[bytes]) -> pa.RecordBatch:
+    text = pa.array([x.decode("utf-8", "replace") for x in found], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(np.arange(place, place + len(found))), text], names=["block", "place", "line"])
+
+
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """(_ordinal, line): blocks' lines are counted, and numbered within their block."""
+    """(_ordinal, line) of fixed_lines: blocks' lines are counted, and numbered within their block."""
     counts = df.groupBy("block").count()
     before = counts.select("block", (F.sum("count").over(Window.orderBy("block")) - F.col("count")).alias("before"))
     own = F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
@@ -70,49 +151,100 @@ def with_ordinal(df: DataFrame) -> DataFrame:
 
 
 def checked_lines(spark: SparkSession, path: str, strict: bool) -> tuple[DataFrame, int]:
-    """Lines that are JSON objects, and how many aren't; strict raises on the first such line's number."""
-    found = lines(spark, path).withColumn("ok", profile.is_json_object(F.col("line")))
-    bad = found.where(~F.col("ok"))
-    count = bad.count()
-    if count and strict:
-        first = with_ordinal(found.drop("ok")).join(F.broadcast(bad.orderBy("block", "place").limit(1).select("line")), "line").agg(F.min("_ordinal")).first()[0]
-        raise ConversionError(f"record {first + 1} isn't a JSON object")
-    return found.where("ok").drop("ok"), count
-
-
-def _python_records(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
-    """Records of a file that one task parses (its format can't be split)."""
+    """Fixed lines that are JSON objects, and how many aren't; strict raises on the first such line's number."""
+    found = fixed_lines(spark, path).withColumn("ok", profile.is_json_object(F.col("line")))
+    told = found.groupBy("block").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.min(F.when(~F.col("ok"), F.col("place"))).alias("first"))
+    bad = told.where("bad > 0").orderBy("block").select("block", "bad", "first").collect() if not strict else told.where("bad > 0").orderBy("block").limit(1).select("block", "bad", "first").collect()
+    if bad and strict:
+        at = F.struct("block", "place") < F.struct(F.lit(bad[0].block), F.lit(bad[0].first))
+        raise ConversionError(f"record {found.where(at).count() + 1} isn't a JSON object")
+    return found.where("ok").drop("ok"), sum(r.bad for r in bad)
+
+
+def _python_records(spark: SparkSession, path: str, parse: Callable) -> DataFrame:
+    """Records of a file that one task parses as a stream (its format can't be split)."""
     path = str(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column(0).to_pylist():
                 held: list[tuple[int, str]] = []
-                for n, record in enumerate(parse(files.read_bytes(p))):
-                    held.append((n, json.dumps(record, ensure_ascii=False)))
-                    if len(held) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held])], names=["_ordinal", "record"])
-                        held = []
+                filesystem, name = files.at(p)
+                with filesystem.open_input_file(name) as f:
+                    for n, record in enumerate(parse(f)):
+                        held.append((n, json.dumps(record, ensure_ascii=False)))
+                        if len(held) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held])], names=["_ordinal", "record"])
+                            held = []
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held])], names=["_ordinal", "record"])
 
     return spark.range(1, numPartitions=1).select(F.lit(path).alias("p")).mapInArrow(run, "_ordinal long, record string")
 
 
-def _array_items(data: bytes) -> Iterator[dict]:
-    text = data.decode("utf-8-sig").strip()
-    if not text:
+class _Text:
+    """A growing window over a UTF-8 stream: text from at on; drop() forgets what is before."""
+
+    def __init__(self, source, size: int) -> None:
+        self.source, self.size, self.decoder = source, size, codecs.getincrementaldecoder("utf-8-sig")()
+        self.text, self.at, self.ended = "", 0, False
+
+    def more(self, size: int | None = None) -> bool:
+        data = b"" if self.ended else self.source.read(size or self.size)
+        self.ended = self.ended or not data
+        self.text = self.text[self.at :] + self.decoder.decode(data, final=not data)
+        self.at = 0
+        return bool(data)
+
+    def peek(self) -> str:
+        """The next character that isn't white space; empty at the end."""
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.text):
+                return self.text[self.at]
+            if not self.more():
+                return ""
+
+
+def array_items(source, size: int = 1 << 20) -> Iterator[dict]:
+    """Objects of a JSON array read as a stream: memory of a chunk and of the largest object."""
+    text, decoder, n = _Text(source, size), json.JSONDecoder(), 0
+    if not text.peek():
         raise ConversionError("the JSON file is empty")
-    try:
-        found = json.loads(text)
-    except json.JSONDecodeError as e:
-        raise ConversionError(f"not a JSON array: line {e.lineno}") from None
-    if not isinstance(found, list):
+    if text.peek() != "[":
         raise ConversionError("the JSON file isn't an array")
-    for n, r in enumerate(found, 1):
-        if not isinstance(r, dict):
-            raise ConversionError(f"record {n} isn't a JSON object")
-        yield r
+    text.at += 1
+    if text.peek() == "]":
+        text.at += 1
+    else:
+        while True:
+            n, step = n + 1, size
+            if not text.peek():
+                raise ConversionError("the JSON array isn't closed")
+            while True:
+                try:
+                    record, end = decoder.raw_decode(text.text, text.at)
+                    # A number or word may go on in the next chunk; only brackets and quotes end for sure.
+                    if end < len(text.text) or text.ended or isinstance(record, (dict, list, str)):
+                        break
+                except json.JSONDecodeError:
+                    if text.ended:
+                        raise ConversionError(f"record {n} isn't JSON, or the array isn't closed") from None
+                step *= 2
+                text.more(step)
+            text.at = end
+            if not isinstance(record, dict):
+                raise ConversionError(f"record {n} isn't a JSON object")
+            yield record
+            mark = text.peek()
+            if mark not in (",", "]"):
+                raise ConversionError(f"a comma is missing after record {n}" if mark else "the JSON array isn't closed")
+            text.at += 1
+            if mark == "]":
+                break
+    if text.peek():
+        raise ConversionError("data follow the JSON array")
 
 
 def csv_value(cell: str | None, dbf_type: str | None):
@@ -128,6 +260,10 @@ def csv_value(cell: str | None, dbf_type: str | None):
     return cell if dbf_type in TEXT_TYPES and not isinstance(value, str) else value
 
 
+#: Reserved keys of exported records whose cells are text.
+TEXT_KEYS = ("_raw_record",)
+
+
 def read_records(spark: SparkSession, path: str, input_format: str, sidecar: Mapping | None = None) -> DataFrame:
     """(_ordinal, record) of an exported file."""
     if input_format == "jsonl":
@@ -135,13 +271,13 @@ def read_records(spark: SparkSession, path: str, input_format: str, sidecar: Map
         return with_ordinal(good).withColumnRenamed("line", "record")
     if input_format == "json":
         if files.read_bytes(path, 2) == b"[\n":
-            body = lines(spark, path).withColumn("line", F.regexp_replace(F.trim("line"), ",$", "")).where(~F.col("line").isin("[", "]", "[]"))
+            body = fixed_lines(spark, path).withColumn("line", F.regexp_replace(F.trim("line"), ",$", "")).where(~F.col("line").isin("[", "]", "[]"))
             bad = body.where(~profile.is_json_object(F.col("line")))
             if bad.isEmpty():
                 return with_ordinal(body).withColumnRenamed("line", "record")
-        return _python_records(spark, path, _array_items)
+        return _python_records(spark, path, array_items)
     if input_format == "csv":
-        kinds = {f["name"]: f["dbf_type"] for f in (sidecar or {}).get("fields", [])}
+        kinds = {f["name"]: f["dbf_type"] for f in (sidecar or {}).get("fields", [])} | dict.fromkeys(TEXT_KEYS, "C")
         rows = spark.read.csv(str(path), header=True, multiLine=True, escape='"', quote='"', nullValue="", emptyValue="", inferSchema=False)
 
         def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +291,23 @@ def read_records(spark: SparkSession, path: str, input_format: str, sidecar: Map
     raise ValueError(f"unknown input format: {input_format}")
 
 
+def csv_faults(source) -> tuple[int, list[str]]:
+    """Records of a CSV stream, and what is wrong with it: bad quoting, rows wider or narrower than the header."""
+    reader, n, head = csv.reader(io.TextIOWrapper(source, "utf-8-sig", newline=""), strict=True), 0, None
+    found: list[str] = []
+    try:
+        for row in reader:
+            if head is None:
+                head = len(row)
+                continue
+            n += 1
+            if len(row) != head and len(found) < 5:
+                found.append(f"record {n} has {len(row)} cells, the header {head}")
+    except (csv.Error, UnicodeDecodeError) as e:
+        found.append(f"after record {n}: {type(e).__name__}")
+    return n, found if head is not None else ["the file has no header"]
+
+
 def count_records(spark: SparkSession, path: str, output_format: str) -> tuple[int, list[str]]:
     """Records of an exported file and what is wrong with its syntax."""
     try:
@@ -162,18 +315,108 @@ def count_records(spark: SparkSession, path: str, output_format: str) -> tuple[i
             row = profile.line_counts(lines(spark, path), "line").first()
             return row.records, [f"{row.skipped_invalid} lines aren't JSON objects"] if row.skipped_invalid else []
         if output_format == "csv":
-            return spark.read.csv(str(path), header=True, multiLine=True, escape='"').count(), []
+            return _csv_count(spark, path)
         return read_records(spark, path, output_format).count(), []
     except Exception as e:  # noqa: BLE001  any defect of the file is the check's result
         return 0, [f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"]
 
 
-def jsonl_to_json(spark: SparkSession, source: str, destination: str, *, strict: bool = True, overwrite: bool = True, cancel: Callable[[], bool] | None = None) -> ConversionStats:
-    """JSON array of the lines' own bytes, a record a line."""
+def _csv_count(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """csv_faults by a task that streams the file: quotes may hold line ends, so its syntax is one pass in order."""
+    path = str(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            filesystem, p = files.at(path)
+            with filesystem.open_input_file(p) as f:
+                n, found = csv_faults(f)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([found], pa.list_(pa.string()))], names=["n", "faults"])
+
+    row = spark.range(1, numPartitions=1).mapInArrow(run, "n long, faults array<string>").first()
+    return row.n, list(row.faults)
+
+
+@dataclass(frozen=True)
+class ConversionProgress:
+    """How far a conversion has come: tasks done of those known so far, and the seconds since its start."""
+
+    source: str
+    destination: str
+    tasks_done: int
+    tasks: int
+    seconds: float
+
+    @property
+    def percent(self) -> float:
+        return 100.0 * self.tasks_done / self.tasks if self.tasks else 0.0
+
+
+def _watched(spark: SparkSession, work: Callable[[], object], cancel: Callable[[], bool] | None, progress: Callable | None, source: str, destination: str):
+    """work(), its Spark jobs stopped as soon as cancel() says so, and reported to progress while they run."""
+    if cancel is None and progress is None:
+        return work()
+    if cancel and cancel():
+        raise ConversionCancelled("cancelled by the caller")
+    context, tag, began, done = spark.sparkContext, f"strataline-{uuid.uuid4().hex}", time.perf_counter(), {}
+
+    def run() -> None:
+        context.setJobGroup(tag, "conversion", interruptOnCancel=True)
+        try:
+            done["value"] = work()
+        except BaseException as e:  # noqa: BLE001  raised again below
+            done["error"] = e
+
+    def report(ended: bool = False) -> None:
+        if progress:
+            tracker = context.statusTracker()
+            stages = [x for j in tracker.getJobIdsForGroup(tag) if (info := tracker.getJobInfo(j)) for x in (tracker.getStageInfo(k) for k in info.stageIds) if x]
+            tasks = sum(x.numTasks for x in stages)
+            # The tracker hears of tasks a little later than they end.
+            done_tasks = max(1, tasks) if ended else sum(x.numCompletedTasks for x in stages)
+            progress(ConversionProgress(str(source), str(destination), done_tasks, max(done_tasks, tasks), time.perf_counter() - began))
+
+    worker = InheritableThread(target=run)
+    worker.start()
+    stopped = False
+    while worker.is_alive():
+        worker.join(POLL)
+        if worker.is_alive() and not stopped and cancel and cancel():
+            context.cancelJobGroup(tag)
+            stopped = True
+        report()
+    if stopped:
+        raise ConversionCancelled("cancelled by the caller")
+    if "error" in done:
+        raise done["error"]
+    report(ended=True)
+    return done["value"]
+
+
+def _streamed(spark: SparkSession, source: str, destination: str, text_of: Callable[[DataFrame], DataFrame], strict: bool, overwrite: bool, head: bytes, between: str, tail: bytes, empty: bytes) -> tuple[int, int]:
+    """One pass from a JSONL file's splits to a file: text_of makes the text of checked lines, null where a line is bad."""
+    files.ensure_free(destination, overwrite)
+    folder = f"{destination}.parts-{uuid.uuid4().hex[:8]}"
+    try:
+        checked = lines(spark, source).withColumn("line", F.when(profile.is_json_object(F.col("line")), F.col("line")))
+        parts = files.stage_blocks(text_of(checked), folder, between)
+        bad = sum(p.bad for p in parts)
+        if bad and strict:
+            before = 0
+            for p in parts:
+                if p.bad:
+                    raise ConversionError(f"record {before + p.first_bad + 1} isn't a JSON object")
+                before += p.n
+        files.joined_parts(destination, folder, [p.name for p in parts if p.n], head, between.encode(), tail, empty, overwrite)
+        return sum(p.n for p in parts), bad
+    finally:
+        files.drop_folder(folder)
+
+
+def jsonl_to_json(spark: SparkSession, source: str, destination: str, *, strict: bool = True, overwrite: bool = True, cancel: Callable[[], bool] | None = None, progress: Callable | None = None) -> ConversionStats:
+    """JSON array of the lines' own bytes, a record a line; one pass, without a shuffle."""
     began = time.perf_counter()
-    _cancelled(cancel)
-    good, bad = checked_lines(spark, source, strict)
-    n = files.write_single(good, "line", ["block", "place"], destination, b"[\n", b",\n", b"\n]\n", b"[]\n", overwrite, joiner=",\n")
+    work = lambda: _streamed(spark, source, destination, lambda df: df, strict, overwrite, b"[\n", ",\n", b"\n]\n", b"[]\n")
+    n, bad = _watched(spark, work, cancel, progress, source, destination)
     return _stats(source, destination, n, bad, began)
 
 
@@ -203,41 +446,69 @@ def flattened(record: Mapping, prefix: str = "") -> dict:
 
 
 def flat_lines(good: DataFrame) -> DataFrame:
-    """Lines with nested objects flattened; their depth isn't known before, so this runs in Arrow batches."""
+    """Lines with nested objects flattened; their depth isn't known before, so this runs in Arrow batches. Null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [json.dumps(flattened(json.loads(x)), ensure_ascii=False, separators=(",", ":")) for x in batch.column(2).to_pylist()]
+            flat = [x and json.dumps(flattened(json.loads(x)), ensure_ascii=False, separators=(",", ":")) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.string())], names=["block", "place", "line"])
 
     return good.select("block", "place", "line").mapInArrow(run, "block long, place long, line string")
 
 
-def jsonl_to_csv(spark: SparkSession, source: str, destination: str, *, columns: Sequence[str] | None = None, schema_types: Mapping[str, str] | None = None, null_columns: Sequence[str] = (), separator: str = ",", include_bom: bool = False, strict: bool = True, flatten: bool = False, overwrite: bool = True, cancel: Callable[[], bool] | None = None) -> ConversionStats:
-    """CSV with a header: configured columns, then further ones as they come up; null is an empty cell."""
+def _declared(value, kind: str, name: str):
+    """A cell's text, which must be of the declared kind; an error names the column, never the value."""
+    fits = {"boolean": value.isin("true", "false"), "bigint": value.rlike(r"^-?[0-9]+(\.0+)?$"), "double": value.try_cast("double").isNotNull()}.get(kind)
+    if fits is None:
+        return value
+    return F.when(value.isNull() | fits, value).otherwise(F.raise_error(F.lit(f"column {name!r} has a value that isn't {kind}")).cast("string"))
+
+
+def jsonl_to_csv(spark: SparkSession, source: str, destination: str, *, columns: Sequence[str] | None = None, schema_types: Mapping[str, str] | None = None, null_columns: Sequence[str] = (), separator: str = ",", include_bom: bool = False, strict: bool = True, flatten: bool = False, overwrite: bool = True, tell_empty: bool = False, cancel: Callable[[], bool] | None = None, progress: Callable | None = None) -> ConversionStats:
+    """CSV with a header: configured columns, then further ones as they come up; null is an empty cell.
+
+    One pass where all columns are declared, else one more before it for the columns. Declared kinds are checked. With
+    tell_empty an empty text, which would read as null, and one that begins with a quote are JSON strings.
+    """
     began = time.perf_counter()
     if len(separator) != 1:
         raise ValueError("the separator is one character")
-    _cancelled(cancel)
-    good, bad = checked_lines(spark, source, strict)
-    if flatten:
-        good = flat_lines(good)
-    if schema_types and columns and set(columns) <= set(schema_types):
-        unknown = {k for k in schema_types.values() if k not in KINDS}
-        if unknown:
-            raise ValueError(f"unknown column types: {sorted(unknown)}")
-        types = {c: KINDS[schema_types[c]] for c in columns}
-        order = list(columns)
-    else:
-        found = inferred_columns(good)
-        types = {c: _column_type(k) for c, k in found}
-        order = policies.merge_columns(columns or (), [c for c, _ in found])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in order])
-    parsed = good.select("block", "place", F.from_json("line", schema).alias("r"))
-    cells = [_quoted(F.lit("") if c in null_columns else F.coalesce(F.col("r").getField(c), F.lit("")), separator) for c in order]
-    text = parsed.select("block", "place", F.concat_ws(separator, *cells).alias("line"))
-    head = separator.join(_quoted_text(c, separator) for c in order)
-    n = files.write_single(text, "line", ["block", "place"], destination, (b"\xef\xbb\xbf" if include_bom else b"") + head.encode() + b"\n", b"\n", b"\n", head.encode() + b"\n", overwrite)
+    unknown = {k for k in (schema_types or {}).values() if k not in KINDS}
+    if unknown:
+        raise ValueError(f"unknown column types: {sorted(unknown)}")
+    declared = {c: KINDS[k] for c, k in (schema_types or {}).items()}
+
+    def work() -> tuple[int, int, list[str], dict[str, str]]:
+        files.ensure_free(destination, overwrite)
+        if columns and set(columns) <= set(declared):
+            types, order = {c: declared[c] for c in columns}, list(columns)
+        else:
+            checked = lines(spark, source).withColumn("line", F.when(profile.is_json_object(F.col("line")), F.col("line")))
+            found = inferred_columns((flat_lines(checked) if flatten else checked).where("line IS NOT NULL"))
+            types = {c: _column_type(k) for c, k in found} | declared
+            order = policies.merge_columns(columns or (), [c for c, _ in found])
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in order])
+
+        def cell(c: str):
+            if c in null_columns:
+                return F.lit("")
+            value = F.col("r").getField(c)
+            value = _declared(value, declared[c], c) if c in declared else value
+            if tell_empty and declared.get(c, "string") == "string":
+                quoted = F.to_json(F.array(value))
+                value = F.when((value == "") | value.startswith('"'), F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(value)
+            return _quoted(F.coalesce(value, F.lit("")), separator)
+
+        def text_of(df: DataFrame) -> DataFrame:
+            parsed = (flat_lines(df) if flatten else df).select("block", "line", F.from_json("line", schema).alias("r"))
+            return parsed.select("block", F.when(F.col("line").isNotNull(), F.concat_ws(separator, *(cell(c) for c in order))).alias("line"))
+
+        head = (separator.join(_quoted_text(c, separator) for c in order)).encode()
+        start = b"\xef\xbb\xbf" if include_bom else b""
+        n, bad = _streamed(spark, source, destination, text_of, strict, overwrite, start + head + b"\n", "\n", b"\n", start + head + b"\n")
+        return n, bad, order, types
+
+    n, bad, order, types = _watched(spark, work, cancel, progress, source, destination)
     stats = _stats(source, destination, n, bad, began)
     stats.columns = [f"{c}:{types.get(c, 'string')}" for c in order]
     return stats
@@ -253,7 +524,7 @@ def _quoted_text(text: str, separator: str) -> str:
     return '"' + text.replace('"', '""') + '"' if any(c in text for c in ('"', "\r", "\n", separator)) else text
 
 
-def jsonl_to_xlsx(spark: SparkSession, source: str, destination: str, *, columns: Sequence[str] | None = None, strict: bool = True, flatten: bool = False, overwrite: bool = True, max_rows_per_sheet: int = xlsx.MAX_ROWS, long_text: str = "overflow", cancel: Callable[[], bool] | None = None) -> ConversionStats:
+def jsonl_to_xlsx(spark: SparkSession, source: str, destination: str, *, columns: Sequence[str] | None = None, strict: bool = True, flatten: bool = False, overwrite: bool = True, max_rows_per_sheet: int = xlsx.MAX_ROWS, long_text: str = "overflow", cancel: Callable[[], bool] | None = None, progress: Callable | None = None) -> ConversionStats:
     """Workbook with a sheet for each max_rows_per_sheet rows (its header included) and long texts on sheets of their own.
 
     Tasks write sheet XML for ranges of rows; the driver streams the parts into the archive.
@@ -263,7 +534,11 @@ def jsonl_to_xlsx(spark: SparkSession, source: str, destination: str, *, columns
         raise ValueError("rows per sheet out of range")
     if long_text not in ("overflow", "error"):
         raise ValueError(f"unknown policy for long texts: {long_text}")
-    _cancelled(cancel)
+    work = lambda: _workbook(spark, source, destination, columns, strict, flatten, overwrite, max_rows_per_sheet, long_text, began)
+    return _watched(spark, work, cancel, progress, source, destination)
+
+
+def _workbook(spark: SparkSession, source: str, destination: str, columns: Sequence[str] | None, strict: bool, flatten: bool, overwrite: bool, max_rows_per_sheet: int, long_text: str, began: float) -> ConversionStats:
     files.ensure_free(destination, overwrite)
     good, bad = checked_lines(spark, source, strict)
     if flatten:
@@ -348,16 +623,11 @@ def jsonl_to_xlsx(spark: SparkSession, source: str, destination: str, *, columns
         if filesystem.get_file_info(p).type != files.fs.FileType.NotFound:
             filesystem.delete_dir(p)
     stats = _stats(source, destination, records, bad, began)
-    stats.sheets, stats.overflow_parts, stats.columns = count + long_count, n_long, order
+    stats.sheets, stats.overflow_sheets, stats.overflow_parts, stats.columns = count + long_count, long_count, n_long, order
     stats.overflow_values = exploded.where('get_json_object(long, "$[6]") = 1').count() if n_long else 0
     return stats
 
 
-def _cancelled(cancel: Callable[[], bool] | None) -> None:
-    if cancel and cancel():
-        raise ConversionCancelled("cancelled by the caller")
-
-
 def _stats(source: str, destination: str, n: int, bad: int, began: float) -> ConversionStats:
     size = lambda p: files.at(p)[0].get_file_info(files.at(p)[1]).size or 0
     return ConversionStats(str(source), str(destination), n, bad, size(source), size(destination), time.perf_counter() - began)

@@ -130,9 +130,9 @@ def overflow_texts(z: zipfile.ZipFile, strings: list[str]) -> dict[int, str]:
     return {number: "".join(parts[k][1] for k in sorted(parts)) for number, parts in found.items()}
 
 
-def records(data: bytes) -> Iterator[dict]:
-    """Records of a workbook's data sheets in order, long texts put back."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def records(source) -> Iterator[dict]:
+    """Records of a workbook's data sheets in order, long texts put back; source is a seekable binary file, or bytes."""
+    with zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source) as z:
         strings, names = shared_strings(z), sheet_names(z)
         texts = overflow_texts(z, strings)
         for sheet in numbered(names, DATA_SHEET):

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
-from strataline.plans import catalog
+from strataline.plans import catalog, file_queries  # noqa: F401  it registers its queries
 from tests import oracle
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.SF_DIR), reason="no test tables")
