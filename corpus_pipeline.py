@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Defined cases, for every stage: a null or empty text is a document like any other (no words, so no near duplicate, no
+leak and no personal data; its only token is the end id) and a very long one is read whole; a row without an id is
+kept and judged by its text; of repeated rows one stays where they have words, and all where they have none; an empty
+table of documents gives an empty result, an empty one of labels or of the benchmark rejects nothing; extra columns,
+whatever their names, pass through all stages but the last. A column score, or _pii, raises ValueError.
 """
 
 from __future__ import annotations
