@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule is a reject condition on a text. A pass over a sample estimates each rule's cost (seconds beyond a
-baseline scan) and selectivity (share rejected); the cascade then tests rules by falling rejection per cost, so that
-an expensive rule runs only on rows that the cheaper, sharper ones let through. The order changes speed and the
-reported first rule, never the verdict.
-
-Defined cases: a null text counts as empty (no words, so it fails `few_words`); an empty table gives an empty
-result and the rules' listed order; repeated ids are judged row by row; extra columns pass through, and the columns
-that this module adds replace none (a clash raises ValueError).
+Every rule is a reject condition on metrics of a text. A sample of the table tells each metric's cost (seconds of the
+sample beyond a bare scan, the least of some runs) and each row's verdict by each rule. The cascade then takes, again
+and again, the rule with most rejections for its cost: rejections among the sampled rows that no earlier rule rejects,
+cost of those metrics that no earlier rule and no result needs anyway. An expensive rule so runs only on rows that the
+cheaper, sharper ones let through. The order changes speed and the reported first rule, never the verdict.
+
+Defined cases: a null text counts as empty (no words, so it fails `few_words`); a very long text is judged whole; an
+empty table gives an empty result and the rules' listed order; repeated ids are judged row by row; extra columns pass
+through, and the columns that this module adds replace none (a clash raises ValueError).
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import SEPARATOR_CLASS, SEPARATORS
+from strataline.llm.common import SEPARATOR_CLASS, SEPARATORS, staged
 
-#: Rows that the cost and selectivity estimate reads.
-SAMPLE_ROWS = 2000
+#: Rows that the cost and selectivity estimate reads, and how often each cost is measured.
+SAMPLE_ROWS, RUNS = 2000, 3
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
@@ -108,6 +109,8 @@ METRICS = {
     "n_upper": n_upper,
 }
 
+#: The metrics that quality_report returns.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The contract's base.
 BASE_RULES = (
     Rule("few_words", lambda m: m("n_words") < 50),
@@ -123,33 +126,68 @@ RULES = (
 )
 
 
-def estimate(df: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Cost in seconds and selectivity of each rule, from the first sample_rows rows as stored.
+def sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """Written texts of about so many rows drawn from the whole table."""
+    count = df.count()
+    drawn = df if count <= rows else df.sample(1.2 * rows / count, 1)
+    return staged(drawn.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).limit(rows), "rules-sample")
 
-    take() reads partitions only until it has its rows, and only flags reach the driver; the estimate steers order
-    alone, so a biased sample costs time, not correctness.
+
+def needs(rule: Rule) -> list[str]:
+    """Names of the metrics that a rule asks for."""
+    asked: list[str] = []
+
+    def metric(name: str) -> Column:
+        asked.append(name)
+        return F.lit(0)
+
+    rule.rejects(metric)
+    return list(dict.fromkeys(asked))
+
+
+def estimate(df: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> dict:
+    """Over a sample: seconds of each metric, metrics of each rule, and (verdicts of all rules, rows) with that pattern.
+
+    Only counts of the verdicts' patterns reach the driver. The estimate steers order alone, so an unlucky sample
+    costs time, not correctness.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
+    rows = sampled(df, text, sample_rows)
+    value = F.col("_text")
 
-    def timed(column: Column) -> tuple[float, list]:
-        began = time.perf_counter()
-        flags = df.select(column.alias("flag")).take(sample_rows)
-        return time.perf_counter() - began, flags
+    def seconds(column: Column) -> float:
+        best = float("inf")
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            rows.agg(F.sum(column)).collect()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    asked = {r.name: needs(r) for r in rules}
+    bare = seconds(F.length(value))
+    costs = {m: max(seconds(METRICS[m](value)) - bare, 0.0) for m in dict.fromkeys(m for names in asked.values() for m in names)}
+    flags = [F.coalesce(r.rejects(lambda name: METRICS[name](value)), F.lit(True)).alias(r.name) for r in rules]
+    patterns = [(tuple(p)[:-1], p["_n"]) for p in rows.select(*flags).groupBy(*(r.name for r in rules)).agg(F.count("*").alias("_n")).collect()] if rules else []
+    return {"costs": costs, "needs": asked, "patterns": patterns}
 
-    timed(F.length(value) < 0)
-    base, _ = timed(F.length(value) < 0)
-    out = []
-    for rule in rules:
-        seconds, flags = timed(rule.rejects(lambda name: METRICS[name](value)))
-        rejected = sum(bool(f[0]) for f in flags) / max(1, len(flags))
-        out.append({"rule": rule.name, "seconds": max(seconds - base, 1e-3), "rejected": rejected})
-    return out
 
+def ordered(rules: Sequence[Rule], found: dict, known: Sequence[str] = ()) -> list[Rule]:
+    """Rules by falling rejection per cost, of what is left after those before; ties keep the listed order.
 
-def ordered(rules: Sequence[Rule], estimates: Sequence[dict]) -> list[Rule]:
-    """Rules by falling rejection per cost; ties keep the listed order."""
-    worth = {e["rule"]: e["rejected"] / e["seconds"] for e in estimates}
-    return sorted(rules, key=lambda r: -worth.get(r.name, 0.0))
+    known: metrics that are computed for all rows anyway and so cost nothing.
+    """
+    left, patterns, have, out = list(enumerate(rules)), found["patterns"], set(known), []
+    while left:
+
+        def worth(rule: tuple[int, Rule]) -> float:
+            cost = 1e-4 + sum(found["costs"][m] for m in found["needs"][rule[1].name] if m not in have)  # noqa: B023
+            return sum(n for flags, n in patterns if flags[rule[0]]) / cost  # noqa: B023
+
+        best = max(left, key=worth)
+        left.remove(best)
+        out.append(best[1])
+        have.update(found["needs"][best[1].name])
+        patterns = [(flags, n) for flags, n in patterns if not flags[best[0]]]
+    return out
 
 
 def cascade(rules: Sequence[Rule], metric) -> Column:
@@ -173,10 +211,11 @@ def apply_rules(df: DataFrame, text: str = "text", rules: Sequence[Rule] = BASE_
 def quality_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base metrics of every row, base_failed and kept.
 
-    The base metrics are results, so they are computed for all rows; the method's rules run as a cascade on rows that
-    the base keeps.
+    The base metrics are results, so they are computed for all rows and cost the cascade nothing; base rules and the
+    method's own are one cascade, in the order that these marginal costs give.
     """
-    order = ordered(rules, estimate(df, text, rules, sample_rows))
+    every = (*BASE_RULES, *rules)
+    order = ordered(every, estimate(df, text, every, sample_rows), RESULTS)
     value = F.coalesce(F.col(text), F.lit(""))
     words = word_array(value)
     measured = df.select(
@@ -193,9 +232,9 @@ def quality_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
         "_text",
     )
     failed = cascade(BASE_RULES, lambda name: F.col(name)).isNotNull()
-    own = cascade(order, lambda name: F.col(name) if name in measured.columns else METRICS[name](F.col("_text")))
+    first = cascade(order, lambda name: F.col(name) if name in RESULTS else METRICS[name](F.col("_text")))
     return measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(own.isNull()).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), first.isNull().alias("kept")
     )
 
 
