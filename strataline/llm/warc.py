@@ -235,8 +235,17 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    chunks = read_archives(write_archives(pages), with_data=False)
-    return chunks.where("last").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    read = staged(read_archives(write_archives(pages), with_data=False).where("last").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"), "warc-read")
+    return with_checked_revisits(read)
+
+
+def with_checked_revisits(read: DataFrame) -> DataFrame:
+    """The records that were read; a revisit must name a response whose payload, as read, has its length and digest."""
+    there = read.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct().withColumn("_there", F.lit(True))
+    told = read.where("record_type = 'revisit'").join(there, ["refers_to", "payload_bytes", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response has the payload of revisit "), F.col("page_id").cast("string"))).cast("string")
+    checked = told.withColumn("record_type", F.when(F.col("_there"), F.col("record_type")).otherwise(lost))
+    return read.where("record_type = 'response'").unionByName(checked.select(*read.columns))
 
 
 #: DuckDB SQL of round_trip over pages.
