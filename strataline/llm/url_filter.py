@@ -2,16 +2,20 @@
 
 A rule (action, host, path) fits a url whose host is the rule's or a subdomain of it and whose path starts with the
 rule's path. The trie is walked from the top-level label down, then along whole path segments; the last, perhaps
-partial, segment of a rule sits in its node's list of prefixes. The deepest fit wins: more host labels first, then
-the longer path; allow and block of the very same host and path: block wins. Rules are configuration, so the
-broadcast trie's size doesn't follow the data; `MAX_RULES` checks it, and larger lists raise ValueError.
+partial, segment of a rule is a key of its node, looked up by each length that such keys have there. The deepest fit
+wins: more host labels first, then the longer path; allow and block of the very same host and path: block wins. Rules
+are configuration, so the broadcast trie's size doesn't follow the data; `MAX_RULES` and `MAX_LETTERS` check it, and
+larger lists raise ValueError.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no rule; repeated urls are judged
-row by row; an empty table gives an empty result; extra columns are left out by url_verdicts.
+row by row; very long urls are split and walked whole, in time of their length; an empty table gives an empty result;
+extra columns, whatever their names, are left out by url_verdicts; a key that is named like a result raises ValueError.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +31,31 @@ RULES = (
     ("block", "com", "/de/"),
 )
 MAX_RULES = 1_000_000
+MAX_LETTERS = 64_000_000
+RESULTS = ("host", "path", "rule", "verdict")
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 class Node:
-    """labels: child nodes by host label. segments: child nodes by whole path segment. ends: (prefix, rule, action)."""
+    """labels: child nodes by host label. segments: child nodes by whole path segment.
+
+    ends: (rule, action) by the start of the next segment. lengths: of these starts, the longest first.
+    """
 
-    __slots__ = ("ends", "labels", "segments")
+    __slots__ = ("ends", "labels", "lengths", "segments")
 
     def __init__(self) -> None:
         self.labels: dict[str, Node] = {}
         self.segments: dict[str, Node] = {}
-        self.ends: list[tuple[str, str, str]] = []
+        self.ends: dict[str, tuple[str, str]] = {}
+        self.lengths: list[int] = []
+
+    def longest(self, text: str) -> tuple[str, str] | None:
+        """(rule, action) of the longest start of text that ends here."""
+        for length in self.lengths:
+            if length <= len(text) and (found := self.ends.get(text[:length])):
+                return found
+        return None
 
 
 def build_trie(rules) -> Node:
@@ -46,6 +63,8 @@ def build_trie(rules) -> Node:
     rules = list(rules)
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
+    if sum(len(host) + len(path) for _, host, path in rules) > MAX_LETTERS:
+        raise ValueError(f"the rules have more than {MAX_LETTERS} letters")
     root = Node()
     for action, host, path in rules:
         if action not in ("allow", "block") or (path and not path.startswith("/")):
@@ -56,8 +75,10 @@ def build_trie(rules) -> Node:
         *whole, last = path.split("/")
         for segment in whole:
             node = node.segments.setdefault(segment, Node())
-        node.ends.append((last, host.translate(ASCII_LOWER) + path, action))
-        node.ends.sort(key=lambda e: (-len(e[0]), e[2] != "block"))
+        if node.ends.get(last, ("", ""))[1] != "block":
+            node.ends[last] = (host.translate(ASCII_LOWER) + path, action)
+        if len(last) not in node.lengths:
+            insort(node.lengths, len(last), key=lambda n: -n)
     return root
 
 
@@ -74,18 +95,16 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def _in_paths(node: Node, path: str) -> tuple[str, str] | None:
     """The rule with the longest path under this host node."""
-    trail, segments = [(node, path)], path.split("/")
-    rest = path
-    for segment in segments[:-1]:
-        node = node.segments.get(segment)
+    trail, at = [(node, path)], 0
+    while node.segments and (end := path.find("/", at)) >= 0:
+        node = node.segments.get(path[at:end])
         if node is None:
             break
-        rest = rest[len(segment) + 1 :]
-        trail.append((node, rest))
+        at = end + 1
+        trail.append((node, path[at:]))
     for node, rest in reversed(trail):
-        for prefix, rule, action in node.ends:
-            if rest.startswith(prefix):
-                return rule, action
+        if found := node.longest(rest):
+            return found
     return None
 
 
@@ -107,6 +126,8 @@ def longest_match(root: Node, host: str, path: str) -> tuple[str | None, str | N
 
 def url_verdicts(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, default: str = "allow") -> DataFrame:
     """key, host, path, rule (null without a fit) and verdict (the rule's action, else default) of every row."""
+    if key in RESULTS:
+        raise ValueError(f"the key can't be named {key}")
     root = df.sparkSession.sparkContext.broadcast(build_trie(rules))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
