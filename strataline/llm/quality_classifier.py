@@ -9,9 +9,11 @@ Training takes at most `TRAIN_ROWS` labelled rows, those with the smallest hash
 fifth; that bound is this module's only sample. One task trains (the update is sequential and the rows are bounded);
 scoring covers every row. The weights (2**BITS floats, 1 MB at 18 bits) are broadcast, a bound that no data changes.
 
-Defined cases: a null or empty text has only the length feature, and gets a score; rows without a label or with a
-null one don't train; with no training row at all every score is 0.5; repeated ids are scored row by row; other
-columns of the table are ignored by `scores` and kept by `keep_good`.
+Defined cases: a null or empty text has only the length feature, and gets a score; a very long text is one sparse
+vector of all its words; rows without a label or with a null one don't train; a row without an id is held out; with no
+training row at all every score is 0.5; repeated ids are scored row by row, and train within the same bound; an empty
+table gives an empty result; other columns of the table are ignored by `scores` and kept by `keep_good`, which raises
+ValueError if one is named score.
 """
 
 from __future__ import annotations
@@ -83,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     usable = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where((crc_bucket("_id", HELD_OUT_FIFTH) != 0) & F.col("_label").isNotNull())
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(train_rows)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
@@ -128,5 +131,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     return scores(docs, fit(docs, labels)).select(
-        "doc_id", (crc_bucket("doc_id", HELD_OUT_FIFTH) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted")
+        "doc_id", F.coalesce(crc_bucket("doc_id", HELD_OUT_FIFTH) == 0, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted")
     )
