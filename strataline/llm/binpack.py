@@ -104,13 +104,18 @@ def histogram(pieces: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _part and _row, to be written: numbers that a later read of the written table can't change."""
+    return rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+
+
 def place(pieces: DataFrame, runs: dict[int, list[tuple[int, int, int, int]]], first_id: int = 0) -> DataFrame:
-    """pieces (a written table) with sequence_id and offset by the plan's runs.
+    """pieces (a written table with _part and _row) with sequence_id and offset by the plan's runs.
 
-    A piece's rank among those of its length is its rank in its partition plus the counts of the partitions before:
-    no length, however common, meets in one task.
+    A piece's rank among those of its length is its rank in its part plus the counts of the parts before: no length,
+    however common, meets in one task. Part and row are columns of the table, so however its reads are split, ranks stay.
     """
-    here = pieces.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    here = pieces
     counts = here.groupBy("length", "_part").count()
     before = counts.select("length", "_part", (F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row"))

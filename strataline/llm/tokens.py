@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import base64
+import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,32 +14,50 @@ from pyspark.sql import functions as F
 
 from strataline.llm.common import worker_cache
 
-#: The ranks file of the vocabulary that byte_bpe_50k.json holds; both give the same ids.
-RANKS = "byte_bpe_50k.tiktoken"
-#: That vocabulary's added tokens, which are recognised wherever a text holds their names.
-ADDED = {"<|endoftext|>": 50256}
-#: That vocabulary's pre-tokenizer, in a form without backtracking; the same cuts.
+#: The vocabulary's file; its ids are those that `tokenizers` gives with add_special_tokens=False.
+VOCABULARY = "byte_bpe_50k.json"
+#: Its byte-level pre-tokenizer, in a form without backtracking; the same cuts.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 END_ID = 0
 CAPACITY = 2048
 
 
-def tokenizer_path(name: str = RANKS) -> str:
+def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def byte_letters() -> dict[str, int]:
+    """Letters that stand for bytes in a byte-level vocabulary: printable bytes are their own, the others follow from 256."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 def _load(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+    """The encoding of a byte-level BPE file, whose ids are in the order of its merges; its added tokens are recognised in texts."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    added = {t["content"]: t["id"] for t in found["added_tokens"]}
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in token): number for token, number in found["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def encoding_of(path: str) -> tiktoken.Encoding:
+    return worker_cache("encoding " + path, lambda: _load(path))
+
+
+def id_bytes(path: str) -> int:
+    """Bytes of an id in packed matrices: two, or four where the vocabulary has ids of 65,535 and more."""
+    return 2 if encoding_of(path).max_token_value < 0xFFFF else 4
 
 
 def document_ids(text: str | None, path: str) -> np.ndarray:
     """Unsigned 32-bit ids of the text, names of added tokens being these tokens, and the end id."""
-    encoding = worker_cache("encoding " + path, lambda: _load(path))
-    ids = encoding.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+    ids = encoding_of(path).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
 
 
