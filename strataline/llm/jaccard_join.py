@@ -97,29 +97,33 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Written rows (doc_id, n, cls, key), and per task a row n = -1 with the sketch of its tokens."""
+    """Written rows (doc_id, n, cls, key, tokens), and per task a row n = -1 with the sketch of its tokens (in tokens).
+
+    The sets are written, 8 bytes an element: later steps read them, so each text is cut into words once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["doc_id", "n", "cls", "key", "sketch"], np.zeros(1 << SKETCH_BITS, np.uint32)
+        names, counts = ["doc_id", "n", "cls", "key", "tokens"], np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            n, cls, pending, held = [], [], [], 0
-            for value in batch.column(1):
+            start, n, cls, pending, held = 0, [], [], [], 0
+            for at, value in enumerate(batch.column(1), 1):
                 s = shingles(value.as_py(), words)
                 n.append(len(s))
                 cls.append(class_of(s))
                 pending.append(s)
                 held += len(s)
-                if held > 1 << 20:
-                    counts += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                    pending, held = [], 0
-            if held:
-                counts += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), batch.column(2), pa.nulls(len(n), pa.binary())], names=names)
+                if held > 1 << 20 or at == batch.num_rows:
+                    if held:
+                        counts += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                    own = batch.slice(start, at - start)
+                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), own.column(2), pa.array([x.tobytes() for x in pending], pa.binary())], names=names)
+                    start, n, cls, pending, held = at, [], [], [], 0
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
-    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, key long, sketch binary"), "jaccard-profiles")
+    # Hashes don't compress.
+    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, key long, tokens binary"), "jaccard-profiles", "none")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -134,28 +138,24 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["sketch"])
 
-    blobs = profiles.where("n = -1").select("sketch")
+    blobs = profiles.where("n = -1").select(F.col("tokens").alias("sketch"))
     found = blobs.repartition(16).mapInArrow(add, "sketch binary").repartition(1).mapInArrow(add, "sketch binary").collect()
     return np.frombuffer(zlib.decompress(bytes(found[0][0])), np.uint32) if found else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
+def _prefixes(profiles: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """(token, n, pos, cls) of each class's prefix; copies in one task are emitted once."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    sent = profiles.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, shift = sent.value, set(), np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             tokens, sizes, places, classes, held = [], [], [], [], 0
-            for value in [*batch.column(1), None]:
-                if value is not None:
-                    s = shingles(value.as_py(), words)
-                    if not len(s):
-                        continue
-                    cls = class_of(s)
-                    if cls in seen:
-                        continue
+            last = batch.num_rows - 1
+            for at, (cls, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                if cls not in seen:
                     seen.add(cls)
+                    s = np.frombuffer(value.as_buffer(), np.uint64)
                     p = prefix_size(len(s), percent)
                     order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[:p]
                     tokens.append(s[order])
@@ -163,11 +163,11 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) ->
                     places.append(np.arange(p, dtype=np.int32))
                     classes.append(np.full(p, cls, np.int64))
                     held += p
-                if held and (value is None or held > 1 << 18):
+                if held and (at == last or held > 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (sizes, places, classes))], names=["token", "n", "pos", "cls"])
                     tokens, sizes, places, classes, held = [], [], [], [], 0
 
-    return docs.mapInArrow(run, "token long, n int, pos int, cls long")
+    return profiles.where("n > 0").select("cls", "tokens").mapInArrow(run, "token long, n int, pos int, cls long")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -233,9 +233,9 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy(F.col("cls").alias("b")).agg(F.max_by("leader", F.struct("count", "leader")).alias("a")).select("a", "b")
 
 
-def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Written (key, text) of the documents whose key is among keys, and of few others that a bit set can't tell apart."""
-    sent = docs.sparkSession.sparkContext.broadcast(bit_set(keys, BITS))
+def _involved_sets(profiles: DataFrame, keys: DataFrame) -> DataFrame:
+    """Written (key, tokens) of the rows whose key is among keys, and of few others that a bit set can't tell apart."""
+    sent = profiles.sparkSession.sparkContext.broadcast(bit_set(keys, BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
@@ -244,11 +244,11 @@ def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
-    found = docs.select("key", "text").mapInArrow(run, "key long, text string")
-    return staged(found, "jaccard-texts")
+    found = profiles.where("n > 0").select("key", "tokens").mapInArrow(run, "key long, tokens binary")
+    return staged(found, "jaccard-sets", "none")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int, answers: bool = False) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int, answers: bool = False) -> DataFrame:
     """Written rows (a, b, na, nb, both, linked) of distinct pairs; a leader's set is copied for each STAR members.
 
     known has the key of a document for each class. With answers, a column delta holds the elements that only one of
@@ -259,7 +259,7 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int,
     leaders = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cls"), F.lit(0).alias("side"))
     asked = staged(members.unionByName(leaders).join(known, "cls"), "jaccard-asked")
     few = asked.count() <= BROADCAST_ROWS
-    asked = texts.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "side", "cls", "text")
+    asked = sets.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "side", "cls", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32(), "both": pa.int32(), "linked": pa.bool_()} | ({"delta": pa.list_(pa.int64())} if answers else {})
@@ -269,9 +269,9 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int,
 
         current, leader, out, held = None, None, [], 0
         for batch in batches:
-            for a, salt, side, cls, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = shingles(text, words)
-                if class_of(own) != cls:  # another text of a repeated id
+            for a, salt, side, cls, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(tokens, np.uint64)
+                if class_of(own) != cls:  # another row of the same key
                     continue
                 if side == 0:
                     current, leader = (a, salt), own
@@ -444,8 +444,8 @@ def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str =
 
 def near_duplicate_links(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows at the threshold or above, copies among them) of every row."""
-    rows, classes, known, texts, roots = _resolved(df, words, percent, key, text)
-    others = _linked_rows(classes, known, texts, roots, words, percent)
+    rows, classes, known, sets, roots = _resolved(df, words, percent, key, text)
+    others = _linked_rows(classes, known, sets, roots, percent)
     final = _labels(classes, roots).join(others, "cls", "left").withColumn("n_links", F.col("n_rows") - 1 + F.coalesce("others", F.lit(0)))
     return _with_labels(rows, final).select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
@@ -512,7 +512,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked_rows(classes: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(cls, others): rows of other classes that a class is linked with, of all pairs within its component."""
     members = roots.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "n", "n_rows"), "cls").join(known, "cls")
     members = staged(members, "jaccard-members")
@@ -522,7 +522,7 @@ def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots:
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     asked = staged(dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "cls", "n_rows", "key"), "jaccard-blocks")
     few = asked.count() <= BROADCAST_ROWS // 2
-    asked = texts.join(F.broadcast(asked) if few else asked, "key").select("root", "i", "j", "side", "cls", "n_rows", "text")
+    asked = sets.join(F.broadcast(asked) if few else asked, "key").select("root", "i", "j", "side", "cls", "n_rows", "tokens")
 
     def counted(sides: tuple[dict, dict], within: bool) -> list[tuple[int, int]]:
         # Of a block on the diagonal there is one side, and a class is no other of itself.
@@ -543,13 +543,13 @@ def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots:
         current, sides = None, ({}, {})
         for batch in batches:
             out = []
-            for root, i, j, side, cls, n_rows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, i, j, side, cls, n_rows, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current != (root, i, j):
                     if current:
                         out += counted(sides, current[1] == current[2])
                     current, sides = (root, i, j), ({}, {})
-                own = shingles(text, words)
-                if class_of(own) == cls:  # else another text of the same key
+                own = np.frombuffer(tokens, np.uint64)
+                if class_of(own) == cls:  # else another row of the same key
                     sides[side][cls] = (own, n_rows)
             if out:
                 yield table(out)
@@ -562,20 +562,19 @@ def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots:
 
 
 def _resolved(df: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows, classes, classes' document keys, involved texts and the roots of linked classes."""
-    docs = _docs(df, key, text)
-    profiles = _profiles(docs, words)
-    postings = _postings(_prefixes(docs, _sketch(profiles), words, percent), percent)
+    """Rows, classes, classes' row keys, involved sets and the roots of linked classes."""
+    profiles = _profiles(_docs(df, key, text), words)
+    postings = _postings(_prefixes(profiles, _sketch(profiles), percent), percent)
     rows = profiles.where("n >= 0").select("doc_id", "n", "cls", "key")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n").alias("n"), F.count("*").alias("n_rows"))
     known = staged(postings.select("cls").distinct().join(classes, "cls").select("cls", "key"), "jaccard-known")
-    texts = _involved_texts(docs, known.select("key"))
-    stars = _verified(_stars(postings, percent), known, texts, words, percent, answers=True)
+    sets = _involved_sets(profiles, known.select("key"))
+    stars = _verified(_stars(postings, percent), known, sets, percent, answers=True)
     links = stars.where("linked").select("a", "b")
     roots = components(links)
     mixed = _mixed(postings, roots)
     if mixed.isEmpty():
-        return rows, classes, known, texts, roots
-    stars = stars.unionByName(_verified(_hubs(mixed, stars), known, texts, words, percent, answers=True))
-    more = _derived(stars, roots, percent).unionByName(_verified(_left_pairs(mixed, stars, percent), known, texts, words, percent).where("linked").select("a", "b"))
-    return rows, classes, known, texts, components(stars.where("linked").select("a", "b").unionByName(more))
+        return rows, classes, known, sets, roots
+    stars = stars.unionByName(_verified(_hubs(mixed, stars), known, sets, percent, answers=True))
+    more = _derived(stars, roots, percent).unionByName(_verified(_left_pairs(mixed, stars, percent), known, sets, percent).where("linked").select("a", "b"))
+    return rows, classes, known, sets, components(stars.where("linked").select("a", "b").unionByName(more))
