@@ -45,8 +45,16 @@ def test_cascade_order_changes_no_verdict(spark):
         verdicts.append(Counter(map(tuple, df.select("doc_id", quality_rules.cascade(rules, metric).isNull()).collect())))
     applied = quality_rules.apply_rules(df)
     assert verdicts[0] == verdicts[1] == Counter((r.doc_id, r.rejected_by is None) for r in applied.select("doc_id", "rejected_by").collect())
-    order = quality_rules.ordered(quality_rules.RULES[:2], [{"rule": "symbols", "rejected": 0.1, "seconds": 1}, {"rule": "duplicate_lines", "rejected": 0.1, "seconds": 0.5}])
-    assert [r.name for r in order] == ["duplicate_lines", "symbols"]
+    rules = quality_rules.RULES[:3]  # symbols, duplicate_lines, shouting
+    assert [quality_rules.needs(r) for r in rules] == [["n_symbols", "n_words"], ["n_dup_lines", "n_lines"], ["n_upper", "word_chars"]]
+    found = {"costs": {"n_symbols": 1, "n_words": 1, "n_dup_lines": 1, "n_lines": 1, "n_upper": 0.5, "word_chars": 0.5}, "needs": {r.name: quality_rules.needs(r) for r in rules}}
+    names = lambda patterns, known=(): [r.name for r in quality_rules.ordered(rules, found | {"patterns": patterns}, known)]
+    assert names([((True, False, False), 10), ((False, True, False), 9), ((False, False, True), 6)]) == ["shouting", "symbols", "duplicate_lines"]
+    # What an earlier rule rejects no longer counts, and what is computed anyway costs nothing.
+    assert names([((True, True, False), 10), ((False, False, True), 1)]) == ["symbols", "shouting", "duplicate_lines"]
+    assert names([((True, False, False), 2), ((False, True, False), 9)], ["n_symbols", "n_words"]) == ["symbols", "duplicate_lines", "shouting"]
+    measured = quality_rules.estimate(df, "text", quality_rules.RULES)
+    assert sum(n for _, n in measured["patterns"]) == len(fixtures.texts()) and all(s >= 0 for s in measured["costs"].values())
     with pytest.raises(ValueError):
         quality_rules.apply_rules(applied)
 
@@ -185,13 +193,47 @@ def brute_removed(rows, length):
 
 @pytest.mark.parametrize(("length", "gram"), [(200, 50), (40, 12)])
 def test_suffix_dedup(spark, length, gram):
-    rows = [r for r in fixtures.texts() if len(r[1] or "") < 20_000]
+    rows = fixtures.texts()
     got = suffix_dedup.removed_repeats(fixtures.frame(spark, rows), length, gram).collect()
     assert Counter(map(tuple, got)) == brute_removed(rows, length)
     texts = suffix_dedup.deduplicated(fixtures.frame(spark, rows), length, gram).collect()
     assert Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest()) for r in texts) == Counter((x[0], x[4]) for x in brute_removed(rows, length).elements())
 
 
+def test_suffix_dedup_in_segments(spark, monkeypatch):
+    """Texts longer than a segment, with repeats across its edges."""
+    import random
+
+    r = random.Random(8)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    shared = fixtures.words(r, 150)
+    rows = [(k, f"{fixtures.words(r, 100 + 37 * k)} {shared} {fixtures.words(r, 300)}") for k in range(6)]
+    got = suffix_dedup.removed_repeats(fixtures.frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == brute_removed(rows, 200) and all(x.n_removed > 500 for x in got)
+
+
+def test_suffix_dedup_gathers_ranges_of_repeated_rows_once(spark):
+    import random
+
+    text = fixtures.words(random.Random(9), 300)
+    docs = suffix_dedup._keyed(fixtures.frame(spark, [(7, text)] * 500), "doc_id", "text")
+    _, ranges = suffix_dedup._ranges(docs, 200, 50)
+    assert ranges.distinct().count() < 100
+    got = suffix_dedup.removed_repeats(fixtures.frame(spark, [(7, text)] * 500)).collect()
+    assert len(got) == 500 and {(x.n_removed, x.n_spans) for x in got} == {(len(text), 1)}
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for n, top in ((1, 3), (50, 2), (400, 3), (300, 50), (3000, 5)):
+        words, groups = rng.integers(0, top, (n, 4)).astype(np.uint64), rng.integers(0, 7, n)
+        order, starts = suffix_sort.multikey_quicksort(words, groups)
+        want = np.lexsort((*(words[:, k] for k in (3, 2, 1, 0)), groups))
+        keys = np.column_stack([groups.astype(np.uint64), words])
+        assert sorted(order.tolist()) == list(range(n)) and (keys[order] == keys[want]).all()
+        assert starts.tolist() == [0, *(np.flatnonzero((keys[order][1:] != keys[order][:-1]).any(axis=1)) + 1).tolist()]
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.removed_repeats(fixtures.empty(spark)).collect() == []
 

@@ -41,6 +41,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, [])).collect() == []
 
 
+def test_a_revisit_must_have_its_response(spark):
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    rows = [(2, 5, "aa", "response", None), (2, 7, "bb", "response", None), (1, 5, "aa", "revisit", 2), (3, 7, "bb", "revisit", 2)]
+    assert Counter(map(tuple, warc.with_checked_revisits(spark.createDataFrame(rows, schema)).collect())) == Counter(rows)
+    for bad in ((4, 5, "bb", "revisit", 2), (4, 5, "aa", "revisit", 9)):
+        with pytest.raises(Exception, match="no response"):
+            warc.with_checked_revisits(spark.createDataFrame([*rows, bad], schema)).collect()
+
+
 def test_chunked_record_table(spark):
     chunks = warc.read_archives(warc.write_archives(pages(spark, PAGE_ROWS))).collect()
     whole = {}
@@ -83,6 +92,13 @@ def test_url_filter(spark):
     assert url_filter.url_verdicts(pages(spark, [])).collect() == []
     with pytest.raises(ValueError):
         url_filter.build_trie([("block", "a.b", "x")])
+    with pytest.raises(ValueError, match="named host"):
+        url_filter.url_verdicts(pages(spark, []).withColumnRenamed("page_id", "host"), key="host")
+    many = url_filter.build_trie([("block", "a.b", f"/{'x' * (k % 9)}{k}") for k in range(5000)] + [("allow", "a.b", "/")])
+    assert url_filter.longest_match(many, "w.a.b", "/xxxx4") == ("a.b/xxxx4", "block") and url_filter.longest_match(many, "a.b", "/xxxxx") == ("a.b/", "allow")
+    assert len(many.labels["b"].labels["a"].segments[""].lengths) < 20
+    long = "http://example.org/" + "es/" * 200_000
+    assert [tuple(r)[3:] for r in url_filter.url_verdicts(pages(spark, [(1, long, "")])).collect()] == [("example.org/es/", "block")]
     both = url_filter.build_trie([("allow", "a.b", "/x"), ("block", "a.b", "/x")])
     assert url_filter.longest_match(both, "a.b", "/x/y") == ("a.b/x", "block")
 
@@ -161,11 +177,11 @@ def test_classifier(spark):
         rows.append((k, text if good else " ".join(w + "***" for w in text.split())))
         labels.append((k, int(good), 0))
     labels += [(1, None, 0), (None, 1, 0), (9999, 1, 0)]
-    rows += [(700, None), (701, ""), (0, "again")]
+    rows += [(700, None), (701, ""), (0, "again"), (None, "no id"), (702, fixtures.words(r, 50_000))]
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = quality_classifier.quality_scores(fixtures.frame(spark, rows), known).collect()
-    assert len(got) == len(rows) and all(0 <= g.score <= 1 and g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 5 == 0) and g.predicted == int(g.score >= 0.3) for g in got)
-    held = [(g.predicted, int(g.doc_id % 3 > 0)) for g in got if g.held_out and g.doc_id < 600 and g.doc_id]
+    assert len(got) == len(rows) and all(0 <= g.score <= 1 and g.held_out == (g.doc_id is None or zlib.crc32(str(g.doc_id).encode()) % 5 == 0) and g.predicted == int(g.score >= 0.3) for g in got)
+    held = [(g.predicted, int(g.doc_id % 3 > 0)) for g in got if g.held_out and g.doc_id and g.doc_id < 600]
     assert sum(a == b for a, b in held) / len(held) > 0.95
     kept = quality_classifier.keep_good(fixtures.frame(spark, rows), known)
     assert kept.columns == fixtures.frame(spark, rows).columns and kept.count() == sum(g.predicted for g in got)
@@ -191,6 +207,43 @@ def brute_leaks(docs, items):
     return out
 
 
+def test_classifier_equals_a_plain_one():
+    """Features and updates against FTRL-proximal written out weight by weight."""
+    import random
+
+    r = random.Random(2)
+    texts = [fixtures.words(r, n) for n in (0, 1, 2, 5, 30, 60)] + ["a b c " * 20]
+    examples = [(np.append(i, 1 << quality_classifier.BITS), np.append(v, 1.0), k % 2) for k, (i, v) in enumerate(map(quality_classifier.features, texts))]
+    q = quality_classifier
+    z, n, order = Counter(), Counter(), [np.random.default_rng(e).permutation(len(examples)) for e in range(q.EPOCHS)]
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= q.L1 else -(z[i] - np.sign(z[i]) * q.L1) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+
+    for epoch in order:
+        for k in epoch:
+            index, values, label = examples[k]
+            w = {i: weight(i) for i in index.tolist()}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in zip(index.tolist(), values.tolist(), strict=True))))
+            for i, v in zip(index.tolist(), values.tolist(), strict=True):
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / q.ALPHA * w[i]
+                n[i] += g * g
+    learned = q.train(examples)
+    for i in range(len(learned)):
+        if i in z:
+            assert abs(learned[i] - weight(i)) < 1e-5
+    assert np.count_nonzero(learned) == sum(weight(i) != 0 for i in list(z))
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, f"text {k}") for k in range(50)] + [(2, "other")]
+    known = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit(fixtures.frame(spark, rows), known, train_rows=1) is not None
+    weights = quality_classifier.fit(fixtures.frame(spark, rows), known, train_rows=2)
+    assert weights is not None and len(weights) == (1 << quality_classifier.BITS) + 1
+
+
 def test_decontamination(spark):
     import random
 
@@ -200,8 +253,7 @@ def test_decontamination(spark):
     docs += [(20, items[0][1].upper().replace(" ", ",\n")), (21, fixtures.words(r, 300)), (22, None), (23, ""), (24, "a b"), (25, " ".join(items[3][1].split()[:88]) + " other words"), (26, items[1][1]), (26, items[1][1])]
     got = decontamination.leaks(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute_leaks(docs, items)
-    found = {(g.doc_id, g.item_id, g.start) for g in got}
-    assert found <= want and {(d, i) for d, i, _ in found} == {(d, i) for d, i, _ in want}
+    assert {(g.doc_id, g.item_id, g.start) for g in got} == want
     assert all(0.8 <= g.similarity <= 1 and g.distance <= decontamination.RADIUS for g in got)
     left = decontamination.without_leaks(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(x.doc_id for x in left.collect()) == [21, 22, 23] and left.columns == fixtures.frame(spark, docs).columns
@@ -216,8 +268,48 @@ def test_short_items_inside_longer_documents(spark):
     assert {(g.doc_id, g.item_id) for g in got} >= {(1, 1), (1, 2), (1, 3), (4, 4), (5, 4), (5, 5)}
 
 
+def test_permuted_and_cut_passages(spark):
+    """Halves that change places, words that change, passages at a document's end: windows at any start."""
+    import random
+
+    r, items, docs = random.Random(12), [], []
+    for k in range(30):
+        words = fixtures.words(r, 60).split()
+        items.append((k, " ".join(words)))
+        half = r.choice([20, 30, 40])
+        docs.append((3 * k, f"{fixtures.words(r, 40)} {' '.join(words[half:] + words[:half])} {fixtures.words(r, 30)}"))
+        changed = list(words)
+        changed[r.randrange(60)] = "changed"
+        docs.append((3 * k + 1, f"{fixtures.words(r, 20)} {' '.join(changed)}"))
+        docs.append((3 * k + 2, f"{fixtures.words(r, 20)} {' '.join(words[: r.choice([50, 54, 58])])}"))
+    got = decontamination.leaks(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    found = {(g.doc_id, g.item_id, g.start) for g in got}
+    assert found <= want and len(found) >= 0.98 * len(want) and {(d, i) for d, i, _ in found} == {(d, i) for d, i, _ in want}
+    assert {d // 3 for d, *_ in want if d % 3 == 0} == set(range(30))
+
+
+def test_fingerprints(spark):
+    """SimHashes and feature sets against plain ones; in few and in many counters the same."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    rows = [([int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)],) for n in (1, 2, 33, 400)] + [([5, 7, 5, 5],)]
+    df = spark.createDataFrame(rows, "g array<long>").select("g", decontamination.features(F.col("g")).alias("f")).withColumn("s", decontamination.simhash(F.col("f")))
+    for g, f, s in map(tuple, df.collect()):
+        assert len(set(f)) == len(g) and set(g) <= set(f)
+        want = sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in f) > len(f))
+        assert s % 2**64 == want
+    few = [r.s for r in df.collect()]
+    old, decontamination.LANE = decontamination.LANE, 0
+    try:
+        assert [r.s for r in df.select(decontamination.simhash(F.col("f")).alias("s")).collect()] == few
+    finally:
+        decontamination.LANE = old
+
+
 def test_weighted_borderline_pairs(spark):
-    """Similarity 0.8 by one shingle that is counted often: the fingerprints may be far apart."""
+    """Similarity 0.8 by one shingle that is counted often: its occurrences are features of their own."""
     import random
 
     r, items, docs = random.Random(9), [], []

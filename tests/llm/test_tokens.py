@@ -1,5 +1,6 @@
 """Token output and packing: exact round trips against the public tokenizer."""
 
+import json
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -15,6 +16,7 @@ from strataline.llm import binpack, packing, token_output, tokens
 from tests.llm import fixtures
 
 CAPACITY = 2048
+REFERENCE: dict = {}
 
 
 @pytest.fixture(scope="module")
@@ -59,7 +61,40 @@ def test_matrix_rows(spark):
     for r in rows:
         ids = np.frombuffer(r.ids, "<u2")
         assert len(ids) == CAPACITY and r.cu_seqlens[0] == 0 and r.resets == r.cu_seqlens[:-1]
-        assert (ids[r.cu_seqlens[-1] :] == token_output.PAD).all() and (ids[: r.cu_seqlens[-1]] != token_output.PAD).all()
+        assert r.id_bytes == 2 and (ids[r.cu_seqlens[-1] :] == 0xFFFF).all() and (ids[: r.cu_seqlens[-1]] != 0xFFFF).all()
+
+
+def test_wide_ids(spark, tmp_path, pieces):
+    """A vocabulary of more than 16 bits takes four bytes an id; the round trip is the same."""
+    with open(tokens.tokenizer_path(), encoding="utf-8") as f:
+        found = json.load(f)
+    found["added_tokens"].append({"id": 70_000, "content": "<|wide|>"})
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(found), encoding="utf-8")
+    df = fixtures.frame(spark, [*fixtures.texts(), (500, "a <|wide|> b")])
+    matrices = token_output.write_matrices(df, path=str(path))
+    rows = token_output.read_segments(matrices).collect()
+    assert {r.id_bytes for r in matrices.collect()} == {4}
+    assert Counter(tuple(r)[:5] for r in rows if r.doc_id != 500) == pieces
+    assert 70_000 in tokens.document_ids("a <|wide|> b", str(path)).tolist()
+
+
+def test_ranks_stay_whatever_the_split(spark):
+    """Ranks are columns of the written table: reading it in other splits places the same pieces."""
+    df = fixtures.frame(spark, fixtures.texts() * 4).repartition(7)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    placed = packing.pack(df)
+    try:
+        first = placed.collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        again = packing.pack(df).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert Counter(tuple(r)[:5] for r in first) == Counter(tuple(r)[:5] for r in again)
+    for rows in (first, again):
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
 
 
 def test_same_ids_as_the_public_tokenizer():
@@ -70,11 +105,18 @@ def test_same_ids_as_the_public_tokenizer():
 
 def test_added_tokens_as_the_public_tokenizer():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} == tokens.ADDED
+    assert {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} == tokens.encoding_of(tokens.tokenizer_path())._special_tokens
     for text in ("abc <|endoftext|> d", "<|endoftext|>", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>'s", "<|endoftext|", "<|EndOfText|> <|pad|>", "x<|endoftext|>y" * 3000):
         assert tokens.document_ids(text, tokens.tokenizer_path()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80) | st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "'s", "\n", "1", "é", "<|", "😀"]), max_size=12).map("".join))
+def test_ids_of_any_text(text):
+    tokenizer = REFERENCE.get("t") or REFERENCE.setdefault("t", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    assert tokens.document_ids(text, tokens.tokenizer_path()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plan_equals_best_fit_decreasing(lengths):
