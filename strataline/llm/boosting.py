@@ -22,11 +22,6 @@ class Tree:
             return np.full(len(x), self.value)
         return np.where(x[:, self.feature] <= self.threshold, self.left.score(x), self.right.score(x))
 
-    def sql(self, names: list[str]) -> str:
-        if self.feature < 0:
-            return f"{self.value:.6f}D"
-        return f"CASE WHEN {names[self.feature]} <= {self.threshold:g} THEN {self.left.sql(names)} ELSE {self.right.sql(names)} END"
-
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, smooth: float) -> Tree:
     leaf = Tree(value=round(-rate * float(g.sum() / (h.sum() + smooth)), 6))
