@@ -147,6 +147,28 @@ def test_pii_phones_in_small_groups(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "call <PHONE> now"
 
 
+def test_pii_clashes_and_long_parts(spark):
+    for name, work in (("_spans", pii.with_spans), ("_pii", pii.redact)):
+        with pytest.raises(ValueError, match=name):
+            work(fixtures.empty(spark).withColumnRenamed("cls", name))
+    texts = [f"write {'a' * 200} (at) {'b' * 100} (dot) {'c' * 40} now", "x" * 300_000 + " (at) " + "y" * 300_000]
+    got = {r.doc_id: r.spans for r in pii.spans_report(fixtures.frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "email:6:359", 1: ""}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_base_spans_of_random_texts(spark, seed):
+    """Base spans against the patterns themselves, on texts made of the letters that matter to them."""
+    import random
+
+    r = random.Random(seed)
+    letters = "0123456789" * 3 + "+++..--  ()@@ab\n"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts += ["+" + (r.choice(" .-()") * r.randint(0, 6)).join(r.choice("0123456789") for _ in range(r.randint(8, 16))) for _ in range(500)]
+    for x in pii.spans_report(fixtures.frame(spark, list(enumerate(texts)))).collect():
+        assert x.base_sha256 == hashlib.sha256(",".join(brute_spans(texts[x.doc_id])).encode()).hexdigest(), texts[x.doc_id]
+
+
 def test_pii_features_in_sql_and_python(spark):
     from pyspark.sql import functions as F
 
