@@ -106,23 +106,23 @@ def features(grams: Column) -> Column:
 def simhash(hashes: Column) -> Column:
     """64-bit SimHash: a bit is set where more of the hashes have it than not.
 
-    Sixteen sums count four bits each in 16-bit lanes; beyond LANE hashes every bit is counted by itself.
+    A sum counts several bits at a time, in lanes of 16 bits; more than LANE hashes are counted in lanes of 32.
     """
     total = F.size(hashes)
+    none = F.lit(0).cast("long")
 
-    def summed(low: int, mask: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda t, h: t + F.shiftrightunsigned(h, low).bitwiseAND(F.lit(mask)))
+    def joined(width: int) -> Column:
+        mask = sum(1 << at for at in range(0, 64, width))
+        sums = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda s: F.aggregate(hashes, none, lambda t, h: t + F.call_function("shiftrightunsigned", h, s).bitwiseAND(F.lit(mask))))
 
-    def joined(count_of) -> Column:
-        bits = [F.when(2 * count_of(j) > total, F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for j in range(64)]
-        while len(bits) > 1:
-            bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
-        return bits[0]
+        def bits(x: Column) -> Column:
+            count = lambda j: F.call_function("shiftrightunsigned", F.element_at(x, j % width + 1), j - j % width).bitwiseAND(F.lit((1 << width) - 1))
+            bit = lambda j: F.when(2 * count(j) > total, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(none)
+            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda t, j: t.bitwiseOR(bit(j)))
 
-    lanes = F.array(*(summed(low, 0x0001000100010001) for low in range(16)))
-    few = bind(lanes, lambda s: joined(lambda j: F.shiftrightunsigned(F.element_at(s, j % 16 + 1), 16 * (j // 16)).bitwiseAND(F.lit(LANE))))
-    many = bind(F.array(*(summed(j, 1) for j in range(64))), lambda s: joined(lambda j: F.element_at(s, j + 1)))
-    return F.when(total <= LANE, few).otherwise(many)
+        return bind(sums, bits)
+
+    return F.when(total <= LANE, joined(16)).otherwise(joined(32))
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
