@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions import scalars
+
 LIMIT = 32_767
 MARKER = "[[OVERFLOW:{}]]"
 
 
 def parts(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
-    """(key, part, parts, text) of texts over limit characters, parts numbered from 1.
+    """(key, part, parts, text) of texts over limit UTF-16 units, parts numbered from 1.
 
-    Counts code points: exact for texts of the basic plane; utf16_parts handles the others.
+    Texts of the basic plane are cut in the JVM; those with surrogate pairs in Arrow batches, so that no pair is parted.
     """
-    long = df.where(F.length(text) > limit).select(F.col(key), F.col(text).alias("whole"), F.ceil(F.length(text) / limit).cast("int").alias("parts"))
-    cut = long.select(key, "parts", "whole", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
-    return cut.select(key, "part", "parts", F.substr("whole", (F.col("part") - 1) * limit + 1, F.lit(limit)).alias("text"))
+    units = scalars.utf16_length(F.col(text))
+    long = df.where(units > limit).select(F.col(key), F.col(text).alias("whole"), (units == F.length(text)).alias("plain"))
+    plain = long.where("plain").withColumn("parts", F.ceil(F.length("whole") / limit).cast("int"))
+    cut = plain.select(key, "parts", "whole", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+    cut = cut.select(key, "part", "parts", F.substr("whole", (F.col("part") - 1) * limit + 1, F.lit(limit)).alias("text"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, n, len(pieces), t) for k, value in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for pieces in [utf16_parts(value, limit)] for n, t in enumerate(pieces, 1)]
+            if found:
+                keys = pa.array([f[0].as_py() for f in found], batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([keys, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.string())], names=[key, "part", "parts", "text"])
+
+    return cut.unionByName(long.where("NOT plain").select(key, "whole").mapInArrow(others, cut.schema))
 
 
 def utf16_parts(text: str, limit: int = LIMIT) -> list[str]:

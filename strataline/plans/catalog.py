@@ -191,8 +191,9 @@ def binary_area(spark, sf_dir):
 
 @query("SELECT event_id, (props::JSON->>'$.k')::BIGINT AS \"props.k\" FROM events")
 def json_flatten(spark, sf_dir):
-    parsed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k BIGINT").alias("props"))
-    return parsed.select("event_id", F.col("props.k").alias("props.k"))
+    nested = F.to_json(F.struct("event_id", F.from_json("props", "k BIGINT").alias("props")))
+    flat = records.flat_lines(table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("block"), F.col("event_id").alias("place"), nested.alias("line")))
+    return flat.select(F.from_json("line", "event_id BIGINT, `props.k` BIGINT").alias("r")).select("r.*")
 
 
 @query("""WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"k": 1.5, "s": "x"}' ELSE '{"n": null, "b": true}' END AS j FROM events),

@@ -42,7 +42,7 @@ def canonical(f: dict, value: Column) -> Column:
     kind, decimals = f["dbf_type"], int(f["decimal_count"] or 0)
     if kind in ("N", "F", "I", "+", "Y"):
         scale = 4 if kind == "Y" else 0 if kind in ("I", "+") else decimals
-        return scalars.canonical_number(value.cast("decimal(38,18)") if scale <= 18 else value.cast("double"), scale)
+        return scalars.canonical_number(value.cast(f"decimal(38,{min(max(scale, 18), 37)})"), scale)
     if kind in ("B", "O") and not f["is_memo"]:
         return scalars.ieee_little_endian(value.cast("double"))
     if kind == "D":

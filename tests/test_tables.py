@@ -196,6 +196,74 @@ def test_xlsx_sheets_and_long_texts(spark, tmp_path):
         records.jsonl_to_xlsx(spark, str(source), str(tmp_path / "y.xlsx"), long_text="error")
 
 
+def test_parts_of_texts_beyond_the_basic_plane(spark):
+    from strataline.operators import overflow
+
+    rows = [(1, "😀" * 30), (2, "a" * 25), (3, "a😀" * 10), (4, "short"), (5, None)]
+    found = {}
+    for r in overflow.parts(spark.createDataFrame(rows, "id int, text string"), "id", "text", 21).collect():
+        found.setdefault(r.id, {})[r.part] = (r.parts, r.text)
+    assert sorted(found) == [1, 2, 3]
+    for k, text in rows[:3]:
+        pieces = [found[k][n][1] for n in sorted(found[k])]
+        assert "".join(pieces) == text and {p for p, _ in found[k].values()} == {len(pieces)}
+        assert all(len(p.encode("utf-16-le")) // 2 <= 21 for p in pieces) and pieces == overflow.utf16_parts(text, 21)
+
+
+def test_fixed_ranges_and_streamed_arrays(monkeypatch):
+    """Line ranges give each line once whatever their size; arrays are read in chunks, and their faults are told."""
+    import io
+    import random
+
+    r = random.Random(1)
+    for _ in range(200):
+        data = b"".join(b"x" * r.choice([0, 1, 3, 10, 50]) + b"\n" for _ in range(r.randint(0, 40))) + b"y" * r.choice([0, 5])
+        size, got = r.randint(1, 60), []
+        for k in range(max(1, -(-len(data) // size))):
+            got += [x for b in records._range_lines(io.BytesIO(data), k * size, (k + 1) * size) for x in b.column(2).to_pylist()]
+        assert got == data.decode().removesuffix("\n").split("\n")[: len(got)] and "\n".join(got).rstrip("\n") == data.decode().rstrip("\n")
+    items = [{"a": i, "t": "]},{[" * (i % 3), "n": {"x": [1, 2, {"y": None}]}} for i in range(50)]
+    for size in (1, 3, 17, 1000):
+        read = lambda text, n=size: list(records.array_items(io.BytesIO(text.encode()), n))
+        assert read(json.dumps(items, indent=1)) == items and read(" [ ] ") == []
+        for bad, told in (("", "empty"), ("{}", "isn't an array"), ("[1]", "isn't a JSON object"), ("[{}", "isn't closed"), ("[{} {}]", "comma"), ("[{}] x", "follow"), ("[{},]", "isn't JSON"), ("[12345", "isn't")):
+            with pytest.raises(records.ConversionError, match=told):
+                read(bad)
+
+
+def test_line_numbers_stay_whatever_the_split(spark, tmp_path, monkeypatch):
+    source = tmp_path / "x.jsonl"
+    source.write_text("".join(json.dumps({"n": n, "t": "x" * (n % 50)}) + "\n" for n in range(2000)))
+    monkeypatch.setattr(records, "SPLIT", 4096)
+    rows = records.read_records(spark, str(source), "jsonl")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        assert [json.loads(r.record)["n"] for r in rows.orderBy("_ordinal").collect()] == list(range(2000))
+        records.jsonl_to_json(spark, str(source), str(tmp_path / "x.json"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x["n"] for x in json.loads((tmp_path / "x.json").read_text())] == list(range(2000))
+    text = source.read_text().splitlines()
+    text[1234] = "{broken"
+    source.write_text("\n".join(text))
+    with pytest.raises(records.ConversionError, match="record 1235"):
+        records.read_records(spark, str(source), "jsonl")
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """An export from another folder, the package on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    tables.build(tmp_path / "in")
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"import sys; sys.path.insert(0, {root!r}); from strataline import api; r = api.export_tables({str(tmp_path / 'in')!r}, {str(tmp_path / 'out')!r}, formats='jsonl,csv'); print([x.status + str(x.errors) for x in r.results])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300, check=False)
+    assert "['OK[]', 'OK[]']" in done.stdout, done.stderr[-2000:]
+
+
 def test_discovery_and_paths(tmp_path):
     tables.build(tmp_path / "Sub", "Zed")
     tables.build(tmp_path, "alfa")
