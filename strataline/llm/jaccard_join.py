@@ -26,8 +26,9 @@ an empty result; extra columns are ignored; very long texts are one set each, wh
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ BITS = 25
 STAR = 256
 #: Classes, and tokens of them, that one side of a block of pairs holds on average at most.
 CHUNK, CHUNK_TOKENS = 512, 1 << 20
+#: Letters of texts that are hashed together.
+TOGETHER = 1 << 21
 #: Rows of at most 40 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _HALF = 1 << 16
@@ -55,22 +58,49 @@ _HALF = 1 << 16
 SKIP = 64
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; texts are hashed together, about TOGETHER letters at a time."""
+    held: list[list[bytes]] = []
+    letters = 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass").lower().split())
+        letters += len(text or "")
+        if letters > TOGETHER:
+            yield from _sets_of(held, words)
+            held, letters = [], 0
+    yield from _sets_of(held, words)
+
+
+def _sets_of(found: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
     vocab = vocabulary()
-    numbers = vocab.numbers(found)
+    numbers = vocab.numbers(list(itertools.chain.from_iterable(found)))
     h = vocab.hashes[numbers]
-    k = min(words, len(h))
-    return np.unique(mix(*(h[i : len(h) - k + 1 + i] for i in range(k))))
+    count = max(0, len(h) - words + 1)
+    # Windows that reach into the next text are left out below.
+    windows = mix(*(h[i : count + i] for i in range(words)))
+    at = 0
+    for own in found:
+        n = len(own)
+        if n < words:
+            yield mix(*(h[at + i : at + i + 1] for i in range(n))) if n else np.zeros(0, np.uint64)
+        else:
+            s = np.sort(windows[at : at + n - words + 1])
+            fresh = np.empty(len(s), bool)
+            fresh[0] = True
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            yield s[fresh]
+        at += n
 
 
-def class_of(s: np.ndarray) -> int:
-    """64-bit key of a set: equal sets, equal keys."""
-    key = mix(np.array([s.sum(dtype=np.uint64)]), np.array([np.bitwise_xor.reduce(s) if len(s) else 0], np.uint64), np.array([len(s)], np.uint64))
-    return int(key.view(np.int64)[0])
+def classes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys of sets: equal sets, equal keys."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    total, odd = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    if some := [s for s in sets if len(s)]:
+        held, own = np.concatenate(some), sizes[sizes > 0]
+        starts = np.cumsum(own) - own
+        total[sizes > 0], odd[sizes > 0] = np.add.reduceat(held, starts), np.bitwise_xor.reduceat(held, starts)
+    return _signed(mix(total, odd, sizes.astype(np.uint64)))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -97,33 +127,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Written rows (doc_id, n, cls, key, tokens), and per task a row n = -1 with the sketch of its tokens (in tokens).
-
-    The sets are written, 8 bytes an element: later steps read them, so each text is cut into words once.
-    """
+    """Written rows (doc_id, n, cls, key), and per task a row n = -1 with the sketch of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["doc_id", "n", "cls", "key", "tokens"], np.zeros(1 << SKETCH_BITS, np.uint32)
+        names, counts = ["doc_id", "n", "cls", "key", "sketch"], np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            start, n, cls, pending, held = 0, [], [], [], 0
-            for at, value in enumerate(batch.column(1), 1):
-                s = shingles(value.as_py(), words)
-                n.append(len(s))
-                cls.append(class_of(s))
-                pending.append(s)
-                held += len(s)
+            n, cls, pending, held = [], [], [], 0
+            for at, own in enumerate(shingle_sets(batch.column(1).to_pylist(), words), 1):
+                n.append(len(own))
+                pending.append(own)
+                held += len(own)
                 if held > 1 << 20 or at == batch.num_rows:
-                    if held:
-                        counts += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                    own = batch.slice(start, at - start)
-                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), own.column(2), pa.array([x.tobytes() for x in pending], pa.binary())], names=names)
-                    start, n, cls, pending, held = at, [], [], [], 0
+                    cls.append(classes_of(pending))
+                    counts += np.bincount((np.concatenate(pending) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                    pending, held = [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(cls)), batch.column(2), pa.nulls(len(n), pa.binary())], names=names)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
-    # Hashes don't compress.
-    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, key long, tokens binary"), "jaccard-profiles", "none")
+    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, key long, sketch binary"), "jaccard-profiles")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -138,36 +162,39 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["sketch"])
 
-    blobs = profiles.where("n = -1").select(F.col("tokens").alias("sketch"))
+    blobs = profiles.where("n = -1").select("sketch")
     found = blobs.repartition(16).mapInArrow(add, "sketch binary").repartition(1).mapInArrow(add, "sketch binary").collect()
     return np.frombuffer(zlib.decompress(bytes(found[0][0])), np.uint32) if found else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
-def _prefixes(profiles: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
     """(token, n, pos, cls) of each class's prefix; copies in one task are emitted once."""
-    sent = profiles.sparkSession.sparkContext.broadcast(sketch)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, shift = sent.value, set(), np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            tokens, sizes, places, classes, held = [], [], [], [], 0
-            last = batch.num_rows - 1
-            for at, (cls, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                if cls not in seen:
+            tokens, sizes, places, classes, pending, held = [], [], [], [], [], 0
+            for at, own in enumerate(shingle_sets(batch.column(1).to_pylist(), words), 1):
+                pending.append(own)
+                held += len(own)
+                if held <= 1 << 19 and at < batch.num_rows:
+                    continue
+                for s, cls in zip(pending, classes_of(pending).tolist(), strict=True):
+                    if not len(s) or cls in seen:
+                        continue
                     seen.add(cls)
-                    s = np.frombuffer(value.as_buffer(), np.uint64)
                     p = prefix_size(len(s), percent)
                     order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[:p]
                     tokens.append(s[order])
                     sizes.append(np.full(p, len(s), np.int32))
                     places.append(np.arange(p, dtype=np.int32))
                     classes.append(np.full(p, cls, np.int64))
-                    held += p
-                if held and (at == last or held > 1 << 18):
+                if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (sizes, places, classes))], names=["token", "n", "pos", "cls"])
-                    tokens, sizes, places, classes, held = [], [], [], [], 0
+                tokens, sizes, places, classes, pending, held = [], [], [], [], [], 0
 
-    return profiles.where("n > 0").select("cls", "tokens").mapInArrow(run, "token long, n int, pos int, cls long")
+    return docs.mapInArrow(run, "token long, n int, pos int, cls long")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -233,9 +260,9 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy(F.col("cls").alias("b")).agg(F.max_by("leader", F.struct("count", "leader")).alias("a")).select("a", "b")
 
 
-def _involved_sets(profiles: DataFrame, keys: DataFrame) -> DataFrame:
-    """Written (key, tokens) of the rows whose key is among keys, and of few others that a bit set can't tell apart."""
-    sent = profiles.sparkSession.sparkContext.broadcast(bit_set(keys, BITS))
+def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Written (key, text) of the documents whose key is among keys, and of few others that a bit set can't tell apart."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_set(keys, BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
@@ -244,22 +271,26 @@ def _involved_sets(profiles: DataFrame, keys: DataFrame) -> DataFrame:
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
-    found = profiles.where("n > 0").select("key", "tokens").mapInArrow(run, "key long, tokens binary")
-    return staged(found, "jaccard-sets", "none")
+    found = docs.select("key", "text").mapInArrow(run, "key long, text string")
+    return staged(found, "jaccard-texts")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int, answers: bool = False) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int, percent: int, answers: bool = False) -> DataFrame:
     """Written rows (a, b, na, nb, both, linked) of distinct pairs; a leader's set is copied for each STAR members.
 
     known has the key of a document for each class. With answers, a column delta holds the elements that only one of
     the two sets has, first those of a; it is null for pairs that share less than half of the larger set.
     """
+    schema = "a long, b long, na int, nb int, both int, linked boolean" + (", delta array<long>" if answers else "")
+    pairs = staged(pairs.select("a", "b"), "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs.sparkSession.createDataFrame([], schema)
     counted = pairs.groupBy("a").count().withColumn("salts", F.ceil(F.col("count") / STAR).cast("int")).drop("count")
     members = pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("cls"), F.lit(1).alias("side"))
     leaders = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cls"), F.lit(0).alias("side"))
     asked = staged(members.unionByName(leaders).join(known, "cls"), "jaccard-asked")
     few = asked.count() <= BROADCAST_ROWS
-    asked = sets.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "side", "cls", "tokens")
+    asked = texts.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "side", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32(), "both": pa.int32(), "linked": pa.bool_()} | ({"delta": pa.list_(pa.int64())} if answers else {})
@@ -269,9 +300,8 @@ def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int,
 
         current, leader, out, held = None, None, [], 0
         for batch in batches:
-            for a, salt, side, cls, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(tokens, np.uint64)
-                if class_of(own) != cls:  # another row of the same key
+            for a, salt, side, cls, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(batch.column(4).to_pylist(), words), strict=True):
+                if classes_of([own])[0] != cls:  # another text of the same key
                     continue
                 if side == 0:
                     current, leader = (a, salt), own
@@ -300,7 +330,6 @@ def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int,
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
-    schema = "a long, b long, na int, nb int, both int, linked boolean" + (", delta array<long>" if answers else "")
     return staged(dealt.mapInArrow(run, schema), "jaccard-verified")
 
 
@@ -361,6 +390,8 @@ def _derived(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     weight, free = 100 * F.col("minus") + percent * F.col("plus"), (100 - percent) * F.col("na")
     least = F.when(weight <= free, F.floor(weight / unit) + 1).otherwise(F.greatest(F.lit(1), F.ceil((weight - free) / unit)))
     answers = staged(answers.join(some, "via").withColumns({"far": weight > free, "least": least.cast("int")}), "jaccard-answers")
+    if answers.isEmpty():
+        return answers.select(F.col("via").alias("a"), F.col("cls").alias("b"))
     # Elements that no other delta of the leader has can't be shared; without them more deltas become too small.
     each = answers.select("via", "cls", "root", "na", "nb", "minus", "far", "least", F.explode("delta").alias("x"))
     own, same = Window.partitionBy("via", "cls"), Window.partitionBy("via", "x")
@@ -401,7 +432,7 @@ def _derived(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 
 def _left_pairs(mixed: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Written candidate pairs (a, b) of different components that have no leader's answer in common."""
+    """Candidate pairs (a, b) of different components that have no leader's answer in common."""
     vias = stars.where("delta IS NOT NULL").groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("via"), F.max("a").alias("also"))
     known = mixed.join(vias, "cls", "left").select("token", "n", "pos", "before", "cls", "root", F.coalesce("via", "cls").alias("via"), F.coalesce("also", "cls").alias("also"))
 
@@ -434,7 +465,7 @@ def _left_pairs(mixed: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "cls")
     found = dealt.mapInArrow(run, "a long, b long, size long").groupBy("a", "b", "size").agg(F.count("*").alias("shared"))
-    return staged(found.withColumn("none", F.lit(0)).where(F.col("shared") >= _enough("size", "none", percent)).select("a", "b"), "jaccard-left")
+    return found.withColumn("none", F.lit(0)).where(F.col("shared") >= _enough("size", "none", percent)).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -444,8 +475,8 @@ def near_duplicates(df: DataFrame, words: int = 3, percent: int = 90, key: str =
 
 def near_duplicate_links(df: DataFrame, words: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows at the threshold or above, copies among them) of every row."""
-    rows, classes, known, sets, roots = _resolved(df, words, percent, key, text)
-    others = _linked_rows(classes, known, sets, roots, percent)
+    rows, classes, known, texts, roots = _resolved(df, words, percent, key, text)
+    others = _linked_rows(classes, known, texts, roots, words, percent)
     final = _labels(classes, roots).join(others, "cls", "left").withColumn("n_links", F.col("n_rows") - 1 + F.coalesce("others", F.lit(0)))
     return _with_labels(rows, final).select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
@@ -512,7 +543,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _linked_rows(classes: DataFrame, known: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
     """(cls, others): rows of other classes that a class is linked with, of all pairs within its component."""
     members = roots.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "n", "n_rows"), "cls").join(known, "cls")
     members = staged(members, "jaccard-members")
@@ -522,7 +553,7 @@ def _linked_rows(classes: DataFrame, known: DataFrame, sets: DataFrame, roots: D
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     asked = staged(dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "cls", "n_rows", "key"), "jaccard-blocks")
     few = asked.count() <= BROADCAST_ROWS // 2
-    asked = sets.join(F.broadcast(asked) if few else asked, "key").select("root", "i", "j", "side", "cls", "n_rows", "tokens")
+    asked = texts.join(F.broadcast(asked) if few else asked, "key").select("root", "i", "j", "side", "cls", "n_rows", "text")
 
     def counted(sides: tuple[dict, dict], within: bool) -> list[tuple[int, int]]:
         # Of a block on the diagonal there is one side, and a class is no other of itself.
@@ -543,13 +574,12 @@ def _linked_rows(classes: DataFrame, known: DataFrame, sets: DataFrame, roots: D
         current, sides = None, ({}, {})
         for batch in batches:
             out = []
-            for root, i, j, side, cls, n_rows, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, i, j, side, cls, n_rows, own in zip(*(c.to_pylist() for c in batch.columns[:6]), shingle_sets(batch.column(6).to_pylist(), words), strict=True):
                 if current != (root, i, j):
                     if current:
                         out += counted(sides, current[1] == current[2])
                     current, sides = (root, i, j), ({}, {})
-                own = np.frombuffer(tokens, np.uint64)
-                if class_of(own) == cls:  # else another row of the same key
+                if classes_of([own])[0] == cls:  # else another text of the same key
                     sides[side][cls] = (own, n_rows)
             if out:
                 yield table(out)
@@ -562,19 +592,20 @@ def _linked_rows(classes: DataFrame, known: DataFrame, sets: DataFrame, roots: D
 
 
 def _resolved(df: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows, classes, classes' row keys, involved sets and the roots of linked classes."""
-    profiles = _profiles(_docs(df, key, text), words)
-    postings = _postings(_prefixes(profiles, _sketch(profiles), percent), percent)
+    """Rows, classes, classes' document keys, involved texts and the roots of linked classes."""
+    docs = _docs(df, key, text)
+    profiles = _profiles(docs, words)
+    postings = _postings(_prefixes(docs, _sketch(profiles), words, percent), percent)
     rows = profiles.where("n >= 0").select("doc_id", "n", "cls", "key")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n").alias("n"), F.count("*").alias("n_rows"))
     known = staged(postings.select("cls").distinct().join(classes, "cls").select("cls", "key"), "jaccard-known")
-    sets = _involved_sets(profiles, known.select("key"))
-    stars = _verified(_stars(postings, percent), known, sets, percent, answers=True)
+    texts = _involved_texts(docs, known.select("key"))
+    stars = _verified(_stars(postings, percent), known, texts, words, percent, answers=True)
     links = stars.where("linked").select("a", "b")
     roots = components(links)
     mixed = _mixed(postings, roots)
     if mixed.isEmpty():
-        return rows, classes, known, sets, roots
-    stars = stars.unionByName(_verified(_hubs(mixed, stars), known, sets, percent, answers=True))
-    more = _derived(stars, roots, percent).unionByName(_verified(_left_pairs(mixed, stars, percent), known, sets, percent).where("linked").select("a", "b"))
-    return rows, classes, known, sets, components(stars.where("linked").select("a", "b").unionByName(more))
+        return rows, classes, known, texts, roots
+    stars = stars.unionByName(_verified(_hubs(mixed, stars), known, texts, words, percent, answers=True))
+    more = _derived(stars, roots, percent).unionByName(_verified(_left_pairs(mixed, stars, percent), known, texts, words, percent).where("linked").select("a", "b"))
+    return rows, classes, known, texts, components(stars.where("linked").select("a", "b").unionByName(more))
