@@ -82,7 +82,7 @@ def text_hashes(rows: DataFrame, names) -> dict[str, str]:
     return {n: found.get(n) for n in names}
 
 
-def export_one(spark: SparkSession, table: files.FoundTable, output: str, options: model.ExportOptions) -> model.TableResult:
+def export_one(spark: SparkSession, table: files.FoundTable, output: str, options: model.ExportOptions, known: dict | None = None) -> model.TableResult:
     """JSONL, sidecar and separated deleted rows of a table; failures are the result's, not raised."""
     began, result = time.perf_counter(), model.TableResult(table.relative, "jsonl")
     memo = policies.default_memo("jsonl", options.memo)
@@ -102,7 +102,7 @@ def export_one(spark: SparkSession, table: files.FoundTable, output: str, option
         scanned = read_table(spark, table.path, table.memo, encoding=options.encoding, errors=options.decode_errors, missingMemo=options.missing_memo, columns=columns).persist()
         try:
             data, deleted = policies.apply_deleted(scanned, options.deleted)
-            described = sidecar.describe(table, memo, options.encoding, options.decode_errors)
+            described = sidecar.describe(table, memo, options.encoding, options.decode_errors, known)
             result.schema_output = sidecar.sidecar_path(output, table.relative)
             files.ensure_free(result.schema_output, options.overwrite)
             result.output = sidecar.data_path(output, table.relative, "jsonl")
@@ -240,7 +240,7 @@ def export_tree(spark: SparkSession, source: str, output: str, options: model.Ex
         convert_these, reused = incremental.split(spark, tables, prints, manifest, options, output)
 
     def export_table(table: files.FoundTable) -> list[model.TableResult]:
-        first = export_one(spark, table, output, options)
+        first = export_one(spark, table, output, options, prints[table.relative])
         made = {"jsonl": first} | {f: convert(spark, first, f, output, options) for f in options.formats if f != "jsonl"}
         return [made[f] for f in dict.fromkeys(["jsonl", *options.formats])]
 

@@ -33,8 +33,9 @@ def _kind(layout: tf.Layout, f: tf.Field) -> str:
     return {"N": "number", "F": "number", "I": "number", "+": "number", "Y": "decimal-string", "L": "boolean-or-null", "D": "date", "T": "datetime", "@": "datetime", "0": "base64"}.get(f.dbf_type, "string")
 
 
-def describe(table: files.FoundTable, memo_policy: str = "inline", encoding: str = "auto", errors: str = "strict") -> dict:
-    """The sidecar of a table."""
+def describe(table: files.FoundTable, memo_policy: str = "inline", encoding: str = "auto", errors: str = "strict", known: dict | None = None) -> dict:
+    """The sidecar of a table; known is its fingerprint, whose hashes are then not computed again."""
+    known = known or {}
     layout = layout_of(table.path, encoding, errors)
     tf.check_supported(layout)
     memo_head = files.read_bytes(table.memo, tf.MEMO_HEADER) if table.memo else None
@@ -46,7 +47,7 @@ def describe(table: files.FoundTable, memo_policy: str = "inline", encoding: str
         "schema_version": VERSION,
         "table": table.name,
         "relative_path": table.relative,
-        "source": {"filename": PurePosixPath(table.relative).name, "relative_path": table.relative, "size_bytes": size(table.path), "sha256": files.sha256(table.path)},
+        "source": {"filename": PurePosixPath(table.relative).name, "relative_path": table.relative, "size_bytes": size(table.path), "sha256": known.get("dbf_sha256") or files.sha256(table.path)},
         "dbf": {
             "format_family": "Microsoft Visual FoxPro" if vfp else "xBase",
             "version_byte": f"0x{layout.version:02x}",
@@ -72,7 +73,7 @@ def describe(table: files.FoundTable, memo_policy: str = "inline", encoding: str
             "present": table.memo is not None,
             "required": bool(layout.memo_fields),
             "size_bytes": size(table.memo) if table.memo else None,
-            "sha256": files.sha256(table.memo) if table.memo else None,
+            "sha256": (known.get("fpt_sha256") or files.sha256(table.memo)) if table.memo else None,
             "header_base64": base64.b64encode(memo_head).decode() if memo_head else None,
             "block_size_bytes": block,
             "next_free_block": next_free,
