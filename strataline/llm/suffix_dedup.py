@@ -269,7 +269,7 @@ def _compared(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 def _dropped(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of the documents with a text."""
     # Repeated rows share a key and give the same ranges, which are gathered once.
-    by_key = ranges.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("r")).select("key", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+    by_key = ranges.repartition("key").distinct().groupBy("key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
