@@ -154,10 +154,12 @@ def checked_lines(spark: SparkSession, path: str, strict: bool) -> tuple[DataFra
     """Fixed lines that are JSON objects, and how many aren't; strict raises on the first such line's number."""
     found = fixed_lines(spark, path).withColumn("ok", profile.is_json_object(F.col("line")))
     told = found.groupBy("block").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.min(F.when(~F.col("ok"), F.col("place"))).alias("first"))
-    bad = told.where("bad > 0").orderBy("block").select("block", "bad", "first").collect() if not strict else told.where("bad > 0").orderBy("block").limit(1).select("block", "bad", "first").collect()
+    # Ranges with bad lines: no more than the file has bytes / SPLIT.
+    bad = told.where("bad > 0").orderBy("block").collect()
     if bad and strict:
-        at = F.struct("block", "place") < F.struct(F.lit(bad[0].block), F.lit(bad[0].first))
-        raise ConversionError(f"record {found.where(at).count() + 1} isn't a JSON object")
+        first = bad[0]
+        before = (F.col("block") < first.block) | ((F.col("block") == first.block) & (F.col("place") < first["first"]))
+        raise ConversionError(f"record {found.where(before).count() + 1} isn't a JSON object")
     return found.where("ok").drop("ok"), sum(r.bad for r in bad)
 
 
