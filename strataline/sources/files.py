@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 import json
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 REPORTS = ("migration_report.jsonl", "migration_report.csv", "reconstruction_report.jsonl", "verification_report.json", "quality_report.json", "checksum_manifest.json")
 
@@ -147,7 +148,8 @@ def write_json(path: str, value) -> None:
 def stage_lines(df: DataFrame, column: str, order: list[str], folder: str, joiner: str = "\n") -> list[tuple[int, str, int]]:
     """Writes a text column's values in order as part files in folder: (part, name, values) of each.
 
-    A range partitioning orders the parts, so many tasks write one file's content; names carry the task's attempt.
+    A range partitioning orders the parts, so many tasks write one file's content; names carry the task's attempt. What
+    it shuffled goes with the job, not when the driver happens to collect its garbage: a copy of the data less on disk.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +164,21 @@ def stage_lines(df: DataFrame, column: str, order: list[str], folder: str, joine
                     count += len(lines)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([count], pa.int64())], names=["part", "name", "n"])
 
-    ordered = df.select(column, *order).repartitionByRange(*order).sortWithinPartitions(*order).select(column)
-    return sorted((r.part, r.name, r.n) for r in ordered.mapInArrow(write, "part int, name string, n long").collect() if r.n)
+    with _shuffles_dropped(df.sparkSession):
+        ordered = df.select(column, *order).repartitionByRange(*order).sortWithinPartitions(*order).select(column)
+        return sorted((r.part, r.name, r.n) for r in ordered.mapInArrow(write, "part int, name string, n long").collect() if r.n)
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that are built and run within remove their shuffle files as they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @dataclass(frozen=True)
@@ -225,7 +240,7 @@ def stage_blocks(df: DataFrame, folder: str, joiner: str) -> list[BlockPart]:
 
 
 def joined_parts(path: str, folder: str, names: list[str], head: bytes, between: bytes, tail: bytes, empty: bytes | None, overwrite: bool) -> None:
-    """One file of part files in order, copied as bytes."""
+    """One file of part files in order, copied as bytes; a part goes as soon as it is copied, so there is never a second copy."""
     filesystem, p = at(folder)
 
     def chunks() -> Iterator[bytes]:
@@ -239,6 +254,7 @@ def joined_parts(path: str, folder: str, names: list[str], head: bytes, between:
             with filesystem.open_input_stream(f"{p}/{name}", compression=None) as f:
                 while block := f.read(1 << 24):
                     yield block
+            filesystem.delete_file(f"{p}/{name}")
         yield tail
 
     write_atomic(path, chunks(), overwrite)

@@ -143,11 +143,15 @@ def _line_batch(block: int, place: int, found: list[bytes]) -> pa.RecordBatch:
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """(_ordinal, line) of fixed_lines: blocks' lines are counted, and numbered within their block."""
+    """(_ordinal, line) of fixed_lines: blocks' lines are counted, and numbered within their block.
+
+    What is broadcast is named: Spark takes the size of lines that come from Python for that of the list of ranges, and
+    would send them all to the driver. The counts are a row for each SPLIT bytes of the file.
+    """
     counts = df.groupBy("block").count()
     before = counts.select("block", (F.sum("count").over(Window.orderBy("block")) - F.col("count")).alias("before"))
     own = F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
-    return df.withColumn("own", own).join(before, "block").select((F.col("before") + F.col("own")).alias("_ordinal"), "line")
+    return df.withColumn("own", own).join(F.broadcast(before), "block").select((F.col("before") + F.col("own")).alias("_ordinal"), "line")
 
 
 def checked_lines(spark: SparkSession, path: str, strict: bool) -> tuple[DataFrame, int]:

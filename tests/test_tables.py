@@ -10,6 +10,7 @@ import pytest
 
 from strataline import api
 from strataline.functions import codepages, numbers
+from strataline.plans import catalog
 from strataline.sources import files, records, xlsx
 from strataline.sources import table_format as tf
 from strataline.sources.dbf_source import read_table
@@ -250,6 +251,17 @@ def test_line_numbers_stay_whatever_the_split(spark, tmp_path, monkeypatch):
         records.read_records(spark, str(source), "jsonl")
 
 
+def test_lines_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """jsonl_to_json read back 1 GB by sending all lines to the driver; what is broadcast are the counts of the ranges."""
+    lines = [json.dumps({"n": n, "t": "x" * 100}) for n in range(5000)]
+    (tmp_path / "x.json").write_text("[\n" + ",\n".join(lines) + "\n]\n")
+    monkeypatch.setattr(records, "SPLIT", 100_000)
+    rows = catalog.read_back(spark, str(tmp_path / "x.json"), "json", "n long, t string")
+    assert sorted(r.n for r in rows.collect()) == list(range(5000))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_workers_need_no_copy_of_the_package(tmp_path):
     """An export from another folder, the package on the driver's path only."""
     import os
