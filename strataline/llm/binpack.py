@@ -10,10 +10,14 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lengths, drawn at random, that a search for an exact filling tries at each depth beyond two pieces.
+TRIES = 4
+
 
 class CapacityTree:
     """Segment tree over residual capacities 0..capacity that says where open bins are."""
@@ -43,6 +47,47 @@ class CapacityTree:
         return -1
 
 
+class Stock:
+    """Pieces by length, from which those that fill a space exactly are taken."""
+
+    def __init__(self, pieces: list[int], lengths: list[int], capacity: int, random: np.random.Generator) -> None:
+        self.lengths, self.random = lengths, random
+        self.counts, self.at = np.zeros(capacity + 1, np.int64), {}
+        for i in pieces:
+            self.counts[lengths[i]] += 1
+            self.at.setdefault(lengths[i], []).append(i)
+
+    def take(self, length: int) -> int:
+        self.counts[length] -= 1
+        return self.at[length].pop()
+
+    def filling(self, room: int, most: int) -> list[int] | None:
+        """At most `most` pieces that fill room exactly, taken out; None where none are found."""
+        found = self._exact(room, most)
+        return None if found is None else [self.take(n) for n in found]
+
+    def _exact(self, room: int, most: int) -> list[int] | None:
+        counts = self.counts
+        if counts[room]:
+            return [room]
+        if most < 2 or room < 2:
+            return None
+        have = counts[:room] > 0
+        pairs = np.flatnonzero(have[1:] & have[:0:-1])
+        if len(pairs) and ((a := int(pairs[-1]) + 1) * 2 != room or counts[a] > 1):
+            return [a, room - a]
+        if most < 3:
+            return None
+        own = np.flatnonzero(have)
+        for a in np.sort(self.random.permutation(own)[:TRIES])[::-1].tolist():
+            counts[a] -= 1
+            rest = self._exact(room - a, most - 1)
+            counts[a] += 1
+            if rest is not None:
+                return [a, *rest]
+        return None
+
+
 def pack_block(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins (lists of positions) by best fit, longest first; each residual keeps its bins in a stack."""
     tree, at, bins = CapacityTree(capacity), {}, []

@@ -2,9 +2,9 @@
 
 Pieces are tokenised once and written as rows of a few numbers. Runs of `BLOCK` consecutive pieces of a partition are
 the instances: no key deals them, so nothing is skewed. Each block evolves on `ISLANDS` islands (a row per block and
-island): a crossover injects whole well-filled bins of one parent into the other, drops the bins that hold duplicates
-of the injected pieces, and best-fits the displaced pieces, longest first. Between epochs each island receives the
-elite of its neighbour. From a block's best packing the bins with at most `WASTE` free tokens stay; the pieces of all
+island): a crossover injects full bins of one parent into the other, drops the bins that hold duplicates of the
+injected pieces or aren't full, and packs the displaced pieces anew: first those that fill a bin exactly, then the
+rest by best fit, longest first. Between epochs each island receives the elite of its neighbour. From a block's best packing the bins with at most `WASTE` free tokens stay; the pieces of all
 other bins, of all blocks, are packed together by the exact best-fit-decreasing plan of binpack, which needs only
 their histogram. Where that finish is above its own lower bound, a group of the islands' bins (of `GROUPS`, by hash)
 joins its pieces, and another, until it isn't or all are in: the fewest groups that give the fewest sequences.
@@ -31,27 +31,43 @@ from strataline.llm.common import staged
 BLOCK = 1024
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 3
+GENERATIONS = 6
 POPULATION = 3
 ELITES = 2
 WASTE = 0
+#: Pieces that may join one to fill a bin exactly.
+FILLING = 4
 GROUPS = 16
 _ROW = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _fitness(loads: list[int], capacity: int) -> float:
-    """Fewer bins first, then fuller ones."""
-    return sum((x / capacity) ** 2 for x in loads) / max(1, len(loads))
-
-
-def repaired(bins: list[list[int]], displaced: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    """bins with the displaced pieces put in by best fit, longest first."""
+    """Fewer bins first, then more that are full, then fuller ones."""
+    full = sum(x == capacity for x in loads)
+    return (0.9 * full + 0.1 * sum((x / capacity) ** 2 for x in loads)) / (len(loads) + 1) - len(loads)
+
+
+def repaired(bins: list[list[int]], displaced: list[int], lengths: list[int], capacity: int, random: np.random.Generator) -> list[list[int]]:
+    """bins with the displaced pieces put in: what fills a bin exactly goes first, the rest by best fit, longest first."""
+    stock = binpack.Stock(displaced, lengths, capacity, random)
+    for members in bins:
+        if free := capacity - sum(lengths[i] for i in members):
+            members.extend(stock.filling(free, FILLING) or ())
+    left = []
+    for length in sorted(stock.at, reverse=True):
+        while stock.at[length]:
+            i = stock.take(length)
+            rest = stock.filling(capacity - length, FILLING) if length < capacity else []
+            if rest is None:
+                left.append(i)
+            else:
+                bins.append([i, *rest])
     tree, at = binpack.CapacityTree(capacity), {}
     for home, members in enumerate(bins):
         free = capacity - sum(lengths[i] for i in members)
         at.setdefault(free, []).append(home)
         tree.add(free, 1)
-    for i in sorted(displaced, key=lambda k: -lengths[k]):
+    for i in left:
         free = tree.tightest(lengths[i])
         if free < 0:
             bins.append([i])
@@ -65,41 +81,39 @@ def repaired(bins: list[list[int]], displaced: list[int], lengths: list[int], ca
     return bins
 
 
+def _full(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    return [x for x in bins if sum(lengths[i] for i in x) == capacity]
+
+
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, random: np.random.Generator) -> list[list[int]]:
-    """Child of a with some of b's well-filled bins."""
-    filled = [x for x in b if sum(lengths[i] for i in x) >= 0.995 * capacity]
+    """Child of a with some of b's full bins; a's bins that aren't full, or hold pieces of these, are packed anew."""
+    filled = _full(b, lengths, capacity)
     if not filled:
         return [list(x) for x in a]
     injected = [filled[k] for k in random.permutation(len(filled))[: max(1, len(filled) // 2)]]
     held = {i for x in injected for i in x}
-    kept, displaced = [list(x) for x in injected], []
-    for x in a:
-        if held.isdisjoint(x):
-            kept.append(list(x))
-        else:
-            displaced.extend(i for i in x if i not in held)
-    return repaired(kept, displaced, lengths, capacity)
+    kept = [list(x) for x in injected] + [list(x) for x in _full(a, lengths, capacity) if held.isdisjoint(x)]
+    held = {i for x in kept for i in x}
+    return repaired(kept, [i for x in a for i in x if i not in held], lengths, capacity, random)
 
 
 def mutated(a: list[list[int]], lengths: list[int], capacity: int, random: np.random.Generator) -> list[list[int]]:
-    """a with some of its least-filled bins emptied and their pieces best-fitted in random groups."""
-    order = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    gone = set(order[: max(1, len(a) // 20)]) | {int(k) for k in random.permutation(len(a))[: max(1, len(a) // 40)]}
-    return repaired([list(x) for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]], lengths, capacity)
+    """a with the bins that aren't full and some of the others emptied, and their pieces packed anew."""
+    gone = {k for k, x in enumerate(a) if sum(lengths[i] for i in x) < capacity} | {int(k) for k in random.permutation(len(a))[: max(1, len(a) // 10)]}
+    return repaired([list(x) for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]], lengths, capacity, random)
 
 
 def evolve(lengths: list[int], capacity: int, start: list[list[list[int]]], generations: int, seed: int) -> list[list[list[int]]]:
     """The ELITES best packings after some generations from a starting population."""
     random = np.random.default_rng(seed)
     score = lambda p: _fitness([sum(lengths[i] for i in x) for x in p], capacity)
-    best = binpack.pack_block(lengths, capacity) if not start else None
-    population = list(start) or [best]
+    population = list(start) or [binpack.pack_block(lengths, capacity), repaired([], list(range(len(lengths))), lengths, capacity, random)]
     while len(population) < POPULATION:
         population.append(mutated(population[0], lengths, capacity, random) if len(population[0]) > 1 else [list(x) for x in population[0]])
     scored = sorted(((score(p), k, p) for k, p in enumerate(population)), key=lambda s: (-s[0], s[1]))[:POPULATION]
-    lower, tick = -(-sum(lengths) // capacity), len(scored)
+    lower, most, tick = -(-sum(lengths) // capacity), sum(lengths) // capacity, len(scored)
     for _ in range(generations):
-        if len(scored[0][2]) == lower and scored[0][0] > 0.9999:
+        if len(scored[0][2]) == lower and len(_full(scored[0][2], lengths, capacity)) == most:
             break
         i, j = random.permutation(len(scored))[:2] if len(scored) > 1 else (0, 0)
         child = crossover(scored[i][2], scored[j][2], lengths, capacity, random)

@@ -147,3 +147,27 @@ def test_crossover_keeps_every_piece_once(lengths, seed):
         assert sorted(i for x in child for i in x) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in x) <= 100 for x in child)
         assert len(packing._unpacked(packing._packed(child, len(lengths)))) == len(child)
+
+
+def test_the_genetic_packer_fills_nearly_all_bins():
+    """Bins of the islands stay if they are full: few were, as no generation bettered the best-fit start."""
+    random = np.random.default_rng(5)
+    lengths = [int(n) for n in np.clip(random.lognormal(6.5, 0.8, 1024), 1, 2048)]
+    start = binpack.pack_block(lengths, 2048)
+    best = packing.evolve(lengths, 2048, [], packing.GENERATIONS, 1)[0]
+    inside = lambda bins: sum(len(x) for x in bins if sum(lengths[i] for i in x) == 2048)
+    assert sorted(i for x in best for i in x) == list(range(1024)) and max(sum(lengths[i] for i in x) for x in best) <= 2048
+    assert len(best) <= len(start) and inside(best) >= 0.95 * 1024 > inside(start)
+
+
+def test_exact_fillings():
+    random = np.random.default_rng(0)
+    for seed in range(200):
+        lengths = np.random.default_rng(seed).integers(1, 30, 12).tolist()
+        stock = binpack.Stock(list(range(12)), lengths, 100, random)
+        got = stock.filling(int(random.integers(1, 60)), 4) or []
+        assert len(set(got)) == len(got) <= 4
+        held = [i for pieces in stock.at.values() for i in pieces]
+        assert sorted(held + got) == list(range(12)) and stock.counts.sum() == len(held) and (stock.counts >= 0).all()
+    stock = binpack.Stock([0, 1, 2], [5, 7, 8], 100, random)
+    assert stock.filling(10, 4) is None and sorted(stock.filling(15, 2)) == [1, 2] and stock.filling(5, 1) == [0]
