@@ -171,3 +171,14 @@ def test_exact_fillings():
         assert sorted(held + got) == list(range(12)) and stock.counts.sum() == len(held) and (stock.counts >= 0).all()
     stock = binpack.Stock([0, 1, 2], [5, 7, 8], 100, random)
     assert stock.filling(10, 4) is None and sorted(stock.filling(15, 2)) == [1, 2] and stock.filling(5, 1) == [0]
+
+
+def test_blocks_keep_what_the_islands_packed(spark):
+    """Pieces of bins that aren't full go to the exact finish: half of them did."""
+    random = np.random.default_rng(5)
+    lengths = np.clip(random.lognormal(6.5, 0.8, 1024), 1, 2048).astype(np.uint16)
+    row = (0, bytearray(lengths.tobytes()), list(range(1024)), [0] * 1024, [0] * 1024, [0] * 1024)
+    blocks = spark.createDataFrame([row], "block long, lengths binary, doc_ids array<long>, pieces array<int>, starts array<long>, crcs array<long>")
+    placed = packing.block_pieces(blocks.join(packing.evolved(blocks, CAPACITY), "block"), CAPACITY).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(1024))
+    assert sum(r.sequence_id is not None for r in placed) >= 0.95 * 1024
