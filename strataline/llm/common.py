@@ -66,6 +66,17 @@ def worker_cache(key: str, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def worker_forget(key: str) -> None:
+    """Drops an object of worker_cache."""
+    sys.__dict__.get("_strataline_cache", {}).pop(key, None)
+
+
+def values_of(column: pa.Array, rows: int = 256) -> Iterator:
+    """A column's values, so many rows at a time: of a batch of long texts there is never a whole second copy."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import SEPARATORS, bit_set, staged
+from strataline.llm.common import SEPARATORS, bit_set, staged, values_of
 from strataline.llm.components import components
 from strataline.llm.words import mix, vocabulary
 
@@ -134,7 +134,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             n, cls, pending, held = [], [], [], 0
-            for at, own in enumerate(shingle_sets(batch.column(1).to_pylist(), words), 1):
+            for at, own in enumerate(shingle_sets(values_of(batch.column(1)), words), 1):
                 n.append(len(own))
                 pending.append(own)
                 held += len(own)
@@ -175,7 +175,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) ->
         counts, seen, shift = sent.value, set(), np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             tokens, sizes, places, classes, pending, held = [], [], [], [], [], 0
-            for at, own in enumerate(shingle_sets(batch.column(1).to_pylist(), words), 1):
+            for at, own in enumerate(shingle_sets(values_of(batch.column(1)), words), 1):
                 pending.append(own)
                 held += len(own)
                 if held <= 1 << 19 and at < batch.num_rows:
@@ -265,9 +265,11 @@ def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bit_set(keys, BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        # The bits stay packed: apart they take 16 times the memory.
+        bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            hit = bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)]
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
@@ -300,7 +302,7 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int,
 
         current, leader, out, held = None, None, [], 0
         for batch in batches:
-            for a, salt, side, cls, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(batch.column(4).to_pylist(), words), strict=True):
+            for a, salt, side, cls, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(values_of(batch.column(4)), words), strict=True):
                 if classes_of([own])[0] != cls:  # another text of the same key
                     continue
                 if side == 0:
@@ -574,7 +576,7 @@ def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots:
         current, sides = None, ({}, {})
         for batch in batches:
             out = []
-            for root, i, j, side, cls, n_rows, own in zip(*(c.to_pylist() for c in batch.columns[:6]), shingle_sets(batch.column(6).to_pylist(), words), strict=True):
+            for root, i, j, side, cls, n_rows, own in zip(*(c.to_pylist() for c in batch.columns[:6]), shingle_sets(values_of(batch.column(6)), words), strict=True):
                 if current != (root, i, j):
                     if current:
                         out += counted(sides, current[1] == current[2])

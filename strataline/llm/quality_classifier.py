@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import crc_bucket
+from strataline.llm.common import crc_bucket, values_of
 from strataline.llm.words import mix, vocabulary
 
 BITS = 18
@@ -112,7 +112,7 @@ def scores(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", tex
         for batch in batches:
             out = np.full(batch.num_rows, 0.5)
             if w is not None:
-                for k, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+                for k, value in enumerate(values_of(batch.column(batch.schema.get_field_index(text)))):
                     index, values = features(value)
                     out[k] = 1 / (1 + np.exp(-np.clip(w[index] @ values + w[-1], -30, 30)))
             columns = [*(batch.columns if keep else batch.columns[:1]), pa.array(out)]

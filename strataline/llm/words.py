@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from strataline.llm.common import worker_cache
+from strataline.llm.common import worker_cache, worker_forget
 
 #: Distinct words that a worker remembers before it starts afresh; bounds its memory.
 VOCABULARY = 400_000
@@ -40,6 +40,8 @@ class Vocabulary(dict):
 
 
 def vocabulary(with_shapes: bool = False) -> Vocabulary:
+    """The worker's vocabulary. It holds one of a kind at a time: stages follow each other in the same workers."""
+    worker_forget(f"vocabulary {not with_shapes}")
     return worker_cache(f"vocabulary {with_shapes}", lambda: Vocabulary(with_shapes))
 
 

@@ -182,3 +182,17 @@ def test_blocks_keep_what_the_islands_packed(spark):
     placed = packing.block_pieces(blocks.join(packing.evolved(blocks, CAPACITY), "block"), CAPACITY).collect()
     assert sorted(r.doc_id for r in placed) == list(range(1024))
     assert sum(r.sequence_id is not None for r in placed) >= 0.95 * 1024
+
+
+def test_workers_hold_one_vocabulary_and_few_texts():
+    import sys
+
+    import pyarrow as pa
+
+    from strataline.llm import common, words
+
+    words.vocabulary(with_shapes=True).numbers([b"a", b"b"])
+    words.vocabulary()
+    assert [k for k in sys.__dict__["_strataline_cache"] if k.startswith("vocabulary")] == ["vocabulary False"]
+    column = pa.array([None if n % 7 == 0 else "x" * n for n in range(1000)]).slice(3)
+    assert list(common.values_of(column)) == column.to_pylist() and list(common.values_of(column.slice(0, 0))) == []
