@@ -1,13 +1,13 @@
 """Best-fit packing by a grouping genetic algorithm on islands, with a global best-fit-decreasing finish.
 
 Pieces are tokenised once and written as rows of a few numbers. Runs of `BLOCK` consecutive pieces of a partition are
-the instances: no key deals them, so nothing is skewed. Each block evolves on `ISLANDS` islands (a row per block and
+the instances: no key deals them, so nothing is skewed; the shorter runs at the ends of partitions are joined. Each block evolves on `ISLANDS` islands (a row per block and
 island): a crossover injects full bins of one parent into the other, drops the bins that hold duplicates of the
 injected pieces or aren't full, and packs the displaced pieces anew: first those that fill a bin exactly, then the
-rest by best fit, longest first. Between epochs each island receives the elite of its neighbour. From a block's best packing the bins with at most `WASTE` free tokens stay; the pieces of all
-other bins, of all blocks, are packed together by the exact best-fit-decreasing plan of binpack, which needs only
-their histogram. Where that finish is above its own lower bound, a group of the islands' bins (of `GROUPS`, by hash)
-joins its pieces, and another, until it isn't or all are in: the fewest groups that give the fewest sequences.
+rest by best fit, longest first. Between epochs each island receives the elite of its neighbour. The bins of a block's best packing stay, full or not, unless fewer sequences come out without
+them: groups of bins, the emptiest first (by the bits of their free tokens, full ones in `GROUPS` by hash), are given up
+one after the other, and the pieces of those given up, of all blocks, are packed together by the exact
+best-fit-decreasing plan of binpack, which needs only their histogram. The fewest groups that give the fewest sequences go.
 
 Defined cases: a null text is an empty document, whose only id is the end id; repeated ids are packed row by row; a
 very long text is cut into pieces of the capacity, all of which are packed; an empty table gives an empty result;
@@ -34,7 +34,6 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 3
 ELITES = 2
-WASTE = 0
 #: Pieces that may join one to fill a bin exactly.
 FILLING = 4
 GROUPS = 16
@@ -177,25 +176,47 @@ def tokenised_blocks(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     return staged(docs.mapInArrow(run, "block long, lengths binary, doc_ids array<long>, pieces array<int>, starts array<long>, crcs array<long>"), "packing-blocks")
 
 
+def joined_ends(blocks: DataFrame) -> DataFrame:
+    """blocks (a written table) with those of fewer than BLOCK pieces joined to blocks of at most so many: tables of many small partitions too have whole blocks."""
+    pieces = F.size("crcs")
+    homes, home, held = [], 0, BLOCK
+    for number, count in blocks.where(pieces < BLOCK).select("block", pieces).orderBy("block").collect():
+        if held + count > BLOCK:
+            home, held = number, 0
+        held += count
+        homes.append((number, home))
+    if len({h for _, h in homes}) == len(homes):
+        return blocks
+    ends = blocks.join(F.broadcast(blocks.sparkSession.createDataFrame(homes, "block long, home long")), "block")
+    parts = ["block", "lengths", "doc_ids", "pieces", "starts", "crcs"]
+    lists = ends.groupBy(F.col("home").alias("block")).agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("ends"))
+    joined = lists.select(
+        "block",
+        F.aggregate("ends.lengths", F.lit(b""), lambda a, b: F.concat(a, b)).alias("lengths"),
+        *(F.flatten(F.col("ends." + name)).alias(name) for name in parts[2:]),
+    )
+    return blocks.where(pieces == BLOCK).unionByName(staged(joined, "packing-ends"))
+
+
 def block_pieces(blocks: DataFrame, capacity: int) -> DataFrame:
-    """A row for each piece of blocks with a column best (bin numbers); bin is null for pieces of bins with over WASTE free tokens."""
+    """A row for each piece of blocks with a column best (bin numbers): its bin, its place there and the bin's free tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "free"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             for r in batch.to_pylist():
                 lengths = np.frombuffer(r["lengths"], np.uint16).astype(np.int64)
-                ids, offsets = np.full(len(lengths), -1), np.full(len(lengths), -1)
-                for number, members in enumerate(_unpacked(r["best"])) if r["best"] is not None else ():
-                    if lengths[members].sum() >= capacity - WASTE:
-                        ids[members] = r["block"] * BLOCK + number
-                        offsets[members] = np.concatenate([[0], np.cumsum(lengths[members])[:-1]])
-                gone = ids < 0
-                columns = [r["doc_ids"], r["pieces"], r["starts"], lengths, r["crcs"], pa.array(ids, mask=gone), pa.array(offsets, mask=gone)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                ids, offsets, free = (np.zeros(len(lengths), np.int64) for _ in range(3))
+                for number, members in enumerate(_unpacked(r["best"])):
+                    ends = np.cumsum(lengths[members])
+                    ids[members] = r["block"] * BLOCK + number
+                    offsets[members] = ends - lengths[members]
+                    free[members] = capacity - ends[-1]
+                columns = [r["doc_ids"], r["pieces"], r["starts"], lengths, r["crcs"], ids, offsets, free]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return blocks.select("block", "lengths", "doc_ids", "pieces", "starts", "crcs", "best").mapInArrow(run, f"{_ROW}, sequence_id long, offset long")
+    return blocks.select("block", "lengths", "doc_ids", "pieces", "starts", "crcs", "best").mapInArrow(run, f"{_ROW}, sequence_id long, offset long, free long")
 
 
 def evolved(blocks: DataFrame, capacity: int) -> DataFrame:
@@ -216,33 +237,36 @@ def evolved(blocks: DataFrame, capacity: int) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = tokens.CAPACITY, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
-    blocks = tokenised_blocks(tokens.pairs(docs, key, text), path or tokens.tokenizer_path(), capacity)
+    blocks = joined_ends(tokenised_blocks(tokens.pairs(docs, key, text), path or tokens.tokenizer_path(), capacity))
     placed = staged(block_pieces(blocks.join(evolved(blocks, capacity), "block"), capacity), "packing-pieces")
-    group = F.when(F.col("sequence_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("sequence_id"), F.lit(GROUPS)).cast("int"))
-    counts: list[dict[int, int]] = [{} for _ in range(GROUPS + 1)]
-    for number, length, count in placed.groupBy(group.alias("g"), "length").count().collect():
-        counts[number + 1][length] = count
-    released, runs, bins = _released(counts, capacity)
+    levels = capacity.bit_length()
+    group = F.when(F.col("free") > 0, levels - F.length(F.bin("free"))).otherwise(levels + F.pmod(F.xxhash64("sequence_id"), F.lit(GROUPS))).cast("int")
+    counts: list[dict[int, int]] = [{} for _ in range(levels + GROUPS)]
+    kept = [0] * len(counts)
+    for number, length, count, firsts in placed.groupBy(group.alias("g"), "length").agg(F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).collect():
+        counts[number][length] = count
+        kept[number] += firsts
+    released, runs, bins = _released(counts, kept, capacity)
+    if not released:
+        return placed.drop("free")
     gone = group < released
-    loose = staged(binpack.numbered(placed.where(gone).drop("sequence_id", "offset")), "packing-loose")
-    return placed.where(~gone).unionByName(binpack.place(loose, runs, first_id=-bins))
+    loose = staged(binpack.numbered(placed.where(gone).drop("sequence_id", "offset", "free")), "packing-loose")
+    return placed.where(~gone).drop("free").unionByName(binpack.place(loose, runs, first_id=-bins))
 
 
-def _released(counts: list[dict[int, int]], capacity: int) -> tuple[int, dict, int]:
-    """How many groups of islands' bins join the loose pieces (counts[0]): the fewest that give the fewest sequences.
+def _released(counts: list[dict[int, int]], kept: list[int], capacity: int) -> tuple[int, dict, int]:
+    """How many groups of islands' bins are given up: the fewest that give the fewest sequences.
 
-    counts has the lengths of the loose pieces and of each group of full bins. Returns that number, the plan's runs
-    and its bins.
+    counts has the lengths of each group's pieces, kept its bins. Returns that number, the plan's runs and its bins.
     """
-    pool, best = {}, None
-    kept = [sum(k * v for k, v in c.items()) // (capacity - WASTE) for c in counts]
-    for released, extra in enumerate(counts):
+    pool, best = {}, (sum(kept), 0, {}, 0)
+    lower = -(-sum(k * v for c in counts for k, v in c.items()) // capacity)
+    for released, extra in enumerate(counts, 1):
+        if best[0] == lower:
+            break
         for length, count in extra.items():
             pool[length] = pool.get(length, 0) + count
-        bins, runs = binpack.plan(pool, capacity)
-        total = bins + sum(kept[released + 1 :])
-        if best is None or total < best[0]:
-            best = (total, released, runs, bins)
-        if bins == -(-sum(k * v for k, v in pool.items()) // capacity):
-            break
+        if extra:
+            bins, runs = binpack.plan(pool, capacity)
+            best = min(best, (bins + sum(kept[released:]), released, runs, bins), key=lambda x: x[0])
     return best[1:]

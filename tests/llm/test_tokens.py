@@ -184,6 +184,55 @@ def test_blocks_keep_what_the_islands_packed(spark):
     assert sum(r.sequence_id is not None for r in placed) >= 0.95 * 1024
 
 
+def in_the_islands_bins(spark, lengths, parts):
+    """How many of the pieces of documents of these lengths stay where the islands put them, and the sequences; places are checked."""
+    docs = spark.createDataFrame([(k, " a" * (n - 1)) for k, n in enumerate(lengths)], "doc_id long, text string").repartition(parts)
+    rows, sequences = packing.pack(docs).collect(), {}
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in sequences.values():
+        s.sort()
+        assert [x[0] for x in s] == [sum(x[1] for x in s[:k]) for k in range(len(s))] and s[-1][0] + s[-1][1] <= CAPACITY
+    return sum(r.sequence_id >= 0 for r in rows), len(sequences)
+
+
+def test_bins_that_cannot_be_full_stay(spark):
+    """Only full bins stayed: of lengths that never fill one, none did."""
+    assert in_the_islands_bins(spark, [700 + 7 * k % 300 for k in range(200)], 1) == (200, 100)
+
+
+def test_small_partitions_have_whole_blocks(spark):
+    """Each partition was a block of its own, however small, and few of its bins were full."""
+    lengths = [int(n) for n in np.clip(np.random.default_rng(7).lognormal(6.5, 0.8, 400), 1, 2048)]
+    inside, sequences = in_the_islands_bins(spark, lengths, 60)
+    assert inside >= 0.9 * 400 and sequences <= len(binpack.pack_block(lengths, CAPACITY))
+
+
+@pytest.mark.parametrize("sizes", [[3, 5], [700, 324, 1], [1024, 1000, 30, 1024, 2], [1024], [512, 512, 512]])
+def test_joined_ends_keep_every_piece(spark, sizes):
+    rows, at = [], 0
+    for k, n in enumerate(sizes):
+        ids = list(range(at, at + n))
+        rows.append(((k << 32) + 5, bytearray(np.array([i % 2048 + 1 for i in ids], np.uint16).tobytes()), ids, [i % 7 for i in ids], [2 * i for i in ids], [3 * i for i in ids]))
+        at += n
+    blocks = spark.createDataFrame(rows, "block long, lengths binary, doc_ids array<long>, pieces array<int>, starts array<long>, crcs array<long>")
+    found = packing.joined_ends(blocks).collect()
+    assert sorted(x for r in found for x in zip(np.frombuffer(r.lengths, np.uint16).tolist(), r.doc_ids, r.pieces, r.starts, r.crcs, strict=True)) == sorted((i % 2048 + 1, i, i % 7, 2 * i, 3 * i) for i in range(at))
+    counts = sorted(len(r.doc_ids) for r in found)
+    assert counts[-1] <= packing.BLOCK and all(a + b > packing.BLOCK for a, b in zip(counts, counts[1:])) and len({r.block for r in found}) == len(found)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 64), max_size=30), max_size=6))
+def test_the_fewest_groups_that_give_the_fewest_sequences_go(groups):
+    counts, kept = [Counter(g) for g in groups], [len(g) for g in groups]
+    released, runs, bins = packing._released(counts, kept, 64)
+    totals = [sum(kept), *(binpack.plan(sum(counts[:k], Counter()), 64)[0] + sum(kept[k:]) for k in range(1, len(groups) + 1))]
+    assert released == totals.index(min(totals)) and bins + sum(kept[released:]) == min(totals)
+    assert {length for length in runs if runs[length]} == {n for g in groups[:released] for n in g}
+
+
 def test_workers_hold_one_vocabulary_and_few_texts():
     import sys
 
