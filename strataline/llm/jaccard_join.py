@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import SEPARATORS, bit_set, staged, values_of
+from strataline.llm.common import SEPARATORS, bit_set, lean, staged, values_of
 from strataline.llm.components import components
 from strataline.llm.words import mix, vocabulary
 
@@ -147,7 +147,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
-    return staged(docs.mapInArrow(run, "doc_id long, n long, cls long, key long, sketch binary"), "jaccard-profiles")
+    return staged(docs.mapInArrow(lean(run), "doc_id long, n long, cls long, key long, sketch binary"), "jaccard-profiles")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -194,7 +194,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (sizes, places, classes))], names=["token", "n", "pos", "cls"])
                 tokens, sizes, places, classes, pending, held = [], [], [], [], [], 0
 
-    return docs.mapInArrow(run, "token long, n int, pos int, cls long")
+    return docs.mapInArrow(lean(run), "token long, n int, pos int, cls long")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -245,7 +245,7 @@ def _postings(prefixes: DataFrame, percent: int) -> DataFrame:
 
     parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "cls")
-    return staged(dealt.mapInArrow(run, "token long, n int, pos int, cls long, leader long, leader_n int, tested boolean"), "jaccard-postings")
+    return staged(dealt.mapInArrow(lean(run), "token long, n int, pos int, cls long, leader long, leader_n int, tested boolean"), "jaccard-postings")
 
 
 def _enough(na: str, nb: str, percent: int) -> Column:
@@ -273,7 +273,7 @@ def _involved_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
-    found = docs.select("key", "text").mapInArrow(run, "key long, text string")
+    found = docs.select("key", "text").mapInArrow(lean(run), "key long, text string")
     return staged(found, "jaccard-texts")
 
 
@@ -330,9 +330,9 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int,
         if out:
             yield table(out)
 
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
-    return staged(dealt.mapInArrow(run, schema), "jaccard-verified")
+    # No number: few pairs are few tasks and few files.
+    dealt = asked.repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    return staged(dealt.mapInArrow(lean(run), schema), "jaccard-verified")
 
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -424,7 +424,7 @@ def _derived(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
     parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = listed.repartition(parts, "token").sortWithinPartitions("token", "n", "place", "cls")
-    emitted = dealt.mapInArrow(run, "via long, a long, b long")
+    emitted = dealt.mapInArrow(lean(run), "via long, a long, b long")
     pairs = staged(emitted.distinct(), "jaccard-derivable")
     one, other = (answers.select("via", F.col("cls").alias(c), F.col("na").alias(f"l{c}"), F.col("nb").alias(f"n{c}"), F.col("minus").alias(f"m{c}"), F.col("delta").alias(f"d{c}")) for c in "ab")
     few = pairs.count() <= BROADCAST_ROWS
@@ -466,7 +466,7 @@ def _left_pairs(mixed: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "cls")
-    found = dealt.mapInArrow(run, "a long, b long, size long").groupBy("a", "b", "size").agg(F.count("*").alias("shared"))
+    found = dealt.mapInArrow(lean(run), "a long, b long, size long").groupBy("a", "b", "size").agg(F.count("*").alias("shared"))
     return found.withColumn("none", F.lit(0)).where(F.col("shared") >= _enough("size", "none", percent)).select("a", "b")
 
 
@@ -590,7 +590,7 @@ def _linked_rows(classes: DataFrame, known: DataFrame, texts: DataFrame, roots:
 
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = asked.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
-    return blocks.mapInArrow(run, "cls long, others long").groupBy("cls").agg(F.sum("others").alias("others"))
+    return blocks.mapInArrow(lean(run), "cls long, others long").groupBy("cls").agg(F.sum("others").alias("others"))
 
 
 def _resolved(df: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:

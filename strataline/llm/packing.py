@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm import binpack, tokens
-from strataline.llm.common import staged
+from strataline.llm.common import lean, staged
 
 BLOCK = 1024
 ISLANDS = 2
@@ -150,7 +150,7 @@ def _island(rows: DataFrame, capacity: int, epoch: int) -> DataFrame:
                     out.append({"block": r["block"], "island": r["island"], "elite": _packed(p, len(lengths)), "score": _fitness([sum(lengths[i] for i in x) for x in p], capacity)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("elite", pa.binary()), ("score", pa.float64())]))
 
-    return rows.select("block", "island", "lengths", "elites").mapInArrow(run, "block long, island int, elite binary, score double")
+    return rows.select("block", "island", "lengths", "elites").mapInArrow(lean(run), "block long, island int, elite binary, score double")
 
 
 def tokenised_blocks(docs: DataFrame, path: str, capacity: int) -> DataFrame:
@@ -173,7 +173,7 @@ def tokenised_blocks(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         if rows:
             yield block()
 
-    return staged(docs.mapInArrow(run, "block long, lengths binary, doc_ids array<long>, pieces array<int>, starts array<long>, crcs array<long>"), "packing-blocks")
+    return staged(docs.mapInArrow(lean(run), "block long, lengths binary, doc_ids array<long>, pieces array<int>, starts array<long>, crcs array<long>"), "packing-blocks")
 
 
 def joined_ends(blocks: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def block_pieces(blocks: DataFrame, capacity: int) -> DataFrame:
                 columns = [r["doc_ids"], r["pieces"], r["starts"], lengths, r["crcs"], ids, offsets, free]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return blocks.select("block", "lengths", "doc_ids", "pieces", "starts", "crcs", "best").mapInArrow(run, f"{_ROW}, sequence_id long, offset long, free long")
+    return blocks.select("block", "lengths", "doc_ids", "pieces", "starts", "crcs", "best").mapInArrow(lean(run), f"{_ROW}, sequence_id long, offset long, free long")
 
 
 def evolved(blocks: DataFrame, capacity: int) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import crc_bucket, values_of
+from strataline.llm.common import crc_bucket, lean, values_of
 from strataline.llm.words import mix, vocabulary
 
 BITS = 18
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         if examples:
             yield pa.RecordBatch.from_arrays([pa.array([train([e[1:] for e in examples]).tobytes()], pa.binary())], names=["weights"])
 
-    found = rows.repartition(1).mapInArrow(fitted, "weights binary").collect()
+    found = rows.repartition(1).mapInArrow(lean(fitted), "weights binary").collect()
     return np.frombuffer(bytes(found[0][0]), np.float32) if found else None
 
 
@@ -119,8 +119,8 @@ def scores(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names if keep else batch.schema.names[:1]), "score"])
 
     if keep:
-        return docs.mapInArrow(score, docs.select("*", F.lit(0.5).alias("score")).schema)
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(score, f"`{key}` long, score double")
+        return docs.mapInArrow(lean(score), docs.select("*", F.lit(0.5).alias("score")).schema)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(lean(score), f"`{key}` long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

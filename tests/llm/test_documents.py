@@ -163,6 +163,25 @@ def test_links_of_each_row(spark, monkeypatch, chunk):
     assert jaccard_join.near_duplicate_links(fixtures.empty(spark)).collect() == []
 
 
+def test_few_pairs_are_few_files(spark, monkeypatch):
+    found, staged = {}, jaccard_join.staged
+
+    def counted(df, name, **options):
+        out = staged(df, name, **options)
+        found.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    rows = [(2 * n + k, f"{' '.join(f'w{n}x{i}' for i in range(60))} {'end' * k}") for n in range(60) for k in range(2)]
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = jaccard_join.near_duplicates(fixtures.frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
+    assert max(found["jaccard-verified"]) <= 4
+
+
 def test_one_of_each_group_stays(spark):
     rows = fixtures.texts()
     df = fixtures.frame(spark, rows)

@@ -245,3 +245,21 @@ def test_workers_hold_one_vocabulary_and_few_texts():
     assert [k for k in sys.__dict__["_strataline_cache"] if k.startswith("vocabulary")] == ["vocabulary False"]
     column = pa.array([None if n % 7 == 0 else "x" * n for n in range(1000)]).slice(3)
     assert list(common.values_of(column)) == column.to_pylist() and list(common.values_of(column.slice(0, 0))) == []
+
+
+def test_idle_workers_hold_no_vocabulary(spark):
+    import pyarrow as pa
+
+    from strataline.llm import jaccard_join, quality_classifier
+
+    def held(batches):
+        import sys
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(k.startswith("vocabulary ") for k in sys.__dict__.get("_strataline_cache", {}))], pa.int64())], names=["n"])
+
+    df = fixtures.frame(spark, fixtures.texts())
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in fixtures.texts() if i], "doc_id long, quality int")
+    for work in (jaccard_join.near_duplicates(df), quality_classifier.quality_scores(df, labels)):
+        work.collect()
+        assert {r.n for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()} == {0}
